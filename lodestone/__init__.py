@@ -1 +1 @@
-
+"""A Spark engine for knowledge-graph question answering over document collections."""
