@@ -207,4 +207,4 @@ def slice_for(classes: DataFrame, edges: DataFrame, detected: DataFrame, anchors
 def visible_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges ``(a, b)`` with both ends among ``nodes(node)``."""
     seen = nodes.select("node").distinct()
-    return edges.join(seen.select(F.col("node").alias("a")), "a", "left_semi").join(seen.select(F.col("node").alias("b")), "b", "left_semi").distinct()
+    return edges.join(seen.select(F.col("node").alias("a")), "a", "left_semi").join(seen.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b").distinct()

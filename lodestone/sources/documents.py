@@ -56,7 +56,7 @@ def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     """
     files = read_files(spark, folder).where(F.col("suffix").isin(*TEXT_SUFFIXES, *PDF_SUFFIXES))
     reader = pdf_text()
-    plain = F.decode("content", "UTF-8")
+    plain = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), plain)
     if reader is not None:
         text = text.when(F.col("suffix").isin(*PDF_SUFFIXES), reader("content"))

@@ -246,7 +246,7 @@ def named_only(rows: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     """``(name, url)`` of the imports that a file declares in its first 256 KB."""
-    head = F.decode(F.substring("content", 1, 262144), "UTF-8")
+    head = F.make_valid_utf8(F.substring("content", 1, 262144).cast("string"))
     both = F.concat(F.regexp_extract_all(head, F.lit(r"owl:imports[^>]*?(?:rdf:)?resource=[\"']([^\"']+)"), F.lit(1)), F.regexp_extract_all(head, F.lit(r"owl:imports\s+<([^>]+)>"), F.lit(1)))
     return files.select("name", F.explode(F.array_distinct(both)).alias("url"))
 
