@@ -11,12 +11,12 @@ the smallest document that has it:
    hash and travel as packed arrays.
 2. Each bucket takes the minimum document per hash and names the windows that
    start in a larger document.
-3. The windows of a document are merged into maximal removal intervals and
-   applied to its text.
+3. The windows of a document, regrouped by parts of all documents, are merged into
+   maximal removal intervals, and these are joined with its text.
 
-Two windows count as equal when a 64-bit hash and their bucket agree, so the
-number of compared bits grows with the number of buckets, that is, with the
-input. Windows are judged on the input, not on what is left.
+Two windows count as equal when 56 bits of their hash and their bucket, of 3 bits
+or more of an independent hash, agree; so the number of compared bits grows with the
+number of buckets, that is, with the input. Windows are judged on the input, not on what is left.
 
 Defined results: null text has no words; a document of fewer words than a
 window keeps all; repeated rows of one id are one document for the comparison
@@ -31,25 +31,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import broadcast_if_small, clean, measured_bytes, plan_bytes, settle
+from ._spark import clean, plan_bytes, settle
 
 WINDOW = 50
 #: Compressed input bytes for which one bucket of window hashes is made.
 BUCKET_BYTES = 4 << 20
 #: Windows gathered before a scan deals them out.
-FLUSH_WINDOWS = 3 << 20
+FLUSH_WINDOWS = 1 << 20
 
 _PACKED = "bucket int, hashes binary, docs binary, counts binary, starts binary"
-_GONE = "doc_id long, starts binary"
+_GONE = "part int, docs binary, counts binary, starts binary"
+_SPANS = "doc_id long, spans binary"
+#: Bytes of a window's hash that travel; its bucket adds bits.
+HASH_BYTES = 7
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers, mostly small, in a few bits each: zigzag, byte planes, zstd."""
+    values = values.astype(np.int64)
+    planes = ((values << 1) ^ (values >> 63)).view(np.uint8).reshape(-1, 8).T
+    used = int(np.flatnonzero(planes.any(axis=1)).max(initial=0)) + 1
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
+
+
+def expand(packed: bytes) -> np.ndarray:
+    """The numbers that :func:`squeeze` took."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, : packed[0]] = raw.T
+    values = out.view(np.uint64)[:, 0]
+    return (values >> np.uint64(1)).astype(np.int64) ^ -(values & np.uint64(1)).astype(np.int64)
 
 
 def bucket_count(df: DataFrame) -> int:
-    """A power of two in proportion to the input's estimated size."""
-    return 1 << max(3, (plan_bytes(df) // BUCKET_BYTES).bit_length())
+    """A power of two in proportion to the size of ``df(doc_id, text)``: the optimizer's estimate, or measured where it has none."""
+    size = plan_bytes(df)
+    if size > 1 << 58:
+        size = df.agg(F.coalesce(F.sum(F.octet_length(df.columns[1]).cast("long")), F.lit(0))).head()[0] // 2
+    return 1 << max(3, (size // BUCKET_BYTES).bit_length())
 
 
 def _scan(width: int, buckets: int):
@@ -74,10 +98,10 @@ def _scan(width: int, buckets: int):
                 rows,
                 (
                     int(bucket[a]) % buckets,
-                    None if known else hashes[a:b].tobytes(),
-                    doc[a:b][heads].tobytes(),
-                    np.diff(np.append(heads, b - a)).astype(np.uint32).tobytes(),
-                    start[a:b].astype(np.uint32).tobytes(),
+                    None if known else hashes[a:b].view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes(),
+                    squeeze(np.diff(doc[a:b][heads], prepend=0)),
+                    squeeze(np.diff(np.append(heads, b - a))),
+                    squeeze(np.diff(start[a:b], prepend=0)),
                 ),
                 strict=True,
             ):
@@ -98,8 +122,8 @@ def _scan(width: int, buckets: int):
                     continue
                 values = _text.span_hashes(part, starts, ends)
                 hashes = _text.window_hashes(values, at, width)
-                bucket = (_text.window_hashes(values, at, width, 1) >> shift).astype(np.int64)
-                parts.append((hashes, bucket, ids[a:b][owner], at - firsts[owner]))
+                bucket = (_text.window_hashes(values, at, width, 1) >> shift).astype(np.int32)
+                parts.append((hashes, bucket, ids[a:b][owner], (at - firsts[owner]).astype(np.int32)))
                 held += len(at)
                 if held >= FLUSH_WINDOWS:
                     yield from deal(parts)
@@ -115,56 +139,85 @@ def _deal(ids: np.ndarray, n: int) -> np.ndarray:
     return (_text.mix64(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def _by_doc(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype(np.uint32)
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(doc)).tolist() if len(doc) else []
-    return pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array([start[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)], pa.binary())], names=["doc_id", "starts"])
-
-
-def _decide(table: pa.Table) -> pa.Table:
-    """One bucket: the windows whose hash a smaller document has."""
-    hashes, docs, starts, gone_doc, gone_start = [], [], [], [], []
-    for h, d, c, s in zip(*(table.column(n).to_pylist() for n in ("hashes", "docs", "counts", "starts")), strict=True):
-        doc = np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32))
-        start = np.frombuffer(s, np.uint32)
-        if h is None:
-            gone_doc.append(doc)
-            gone_start.append(start)
-        else:
-            hashes.append(np.frombuffer(h, np.uint64))
-            docs.append(doc)
-            starts.append(start)
-    if hashes:
-        h, doc, start = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
-        del hashes, docs, starts
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least = np.minimum.reduceat(doc[order], cuts)
-        gone = order[doc[order] > np.repeat(least, np.diff(np.append(cuts, len(h))))]
-        gone_doc.append(doc[gone])
-        gone_start.append(start[gone])
-    nothing = [np.zeros(0, np.int64)]
-    return pa.Table.from_batches([_by_doc(np.concatenate(gone_doc or nothing), np.concatenate(gone_start or nothing))])
-
-
-def repeated_windows(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WINDOW) -> DataFrame:
-    """``(doc_id, starts)``: packed word indices of the windows to remove, in one or more rows a document."""
+def _whole(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // HASH_BYTES, 8), np.uint8)
+    out[:, 8 - HASH_BYTES :] = np.frombuffer(packed, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view(np.uint64)[:, 0]
+
+
+def _unpacked(table: pa.Table) -> Iterator[tuple[bytes | None, np.ndarray, np.ndarray]]:
+    """Hashes if there are any, document and start of the windows of each row."""
+    hashes = table.column("hashes").to_pylist() if "hashes" in table.column_names else [None] * len(table)
+    for h, d, c, s in zip(hashes, *(table.column(n).to_pylist() for n in ("docs", "counts", "starts")), strict=True):
+        yield h, np.repeat(np.cumsum(expand(d)), expand(c)), np.cumsum(expand(s))
+
+
+def _decide(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One bucket: the windows whose hash a smaller document has, dealt to parts of the documents."""
+        hashes, docs, starts, gone_doc, gone_start = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for h, doc, start in _unpacked(table):
+            if h is None:
+                gone_doc.append(doc)
+                gone_start.append(start)
+            else:
+                hashes.append(_whole(h))
+                docs.append(doc)
+                starts.append(start.astype(np.int32))
+        if hashes:
+            h, doc, start = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
+            del hashes, docs, starts
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            least = np.minimum.reduceat(doc[order], cuts)
+            gone = order[doc[order] > np.repeat(least, np.diff(np.append(cuts, len(h))))]
+            gone_doc.append(doc[gone])
+            gone_start.append(start[gone])
+        doc, start = np.concatenate(gone_doc), np.concatenate(gone_start)
+        part = _deal(doc, buckets)
+        order = np.lexsort((start, doc, part))
+        part, doc, start = part[order], doc[order], start[order]
+        rows: list[list] = [[], [], [], []]
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            heads = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
+            values = int(part[a]), squeeze(np.diff(doc[a:b][heads], prepend=0)), squeeze(np.diff(np.append(heads, b - a))), squeeze(np.diff(start[a:b], prepend=0))
+            for column, value in zip(rows, values, strict=True):
+                column.append(value)
+        return pa.table({"part": pa.array(rows[0], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip(("docs", "counts", "starts"), rows[1:], strict=True)}})
+
+    return run
+
+
+def _merge(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One part of the documents: each one's maximal intervals."""
+        parts = [(d, s) for _, d, s in _unpacked(table)]
+        doc, start = np.concatenate([d for d, _ in parts]), np.concatenate([s for _, s in parts])
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+        spans = [squeeze(covered(start[a:b], width).ravel()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.table({"doc_id": pa.array(doc[cuts[:-1]], pa.int64()), "spans": pa.array(spans, pa.binary())})
+
+    return run
+
+
+def removals(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WINDOW) -> DataFrame:
+    """``(doc_id, spans)``: the packed maximal removal intervals of every document that has any."""
     kept = clean(df, key, text).where(F.col(f"`{key}`").isNotNull())
-    packed = kept.mapInArrow(_scan(width, bucket_count(kept)), _PACKED)
-    return packed.groupBy("bucket").applyInArrow(_decide, _GONE)
+    buckets = bucket_count(kept)
+    packed = kept.mapInArrow(_scan(width, buckets), _PACKED)
+    return packed.groupBy("bucket").applyInArrow(_decide(buckets), _GONE).groupBy("part").applyInArrow(_merge(width), _SPANS)
 
 
-def covered(n_words: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Maximal intervals ``[start, end)`` of the words that any of the windows covers, as rows."""
-    starts = np.unique(starts).astype(np.int64)
-    starts = starts[starts + width <= n_words]
+def covered(starts: np.ndarray, width: int) -> np.ndarray:
+    """Maximal intervals ``[start, end)`` of the words that any window at these sorted starts covers, as rows."""
     if not len(starts):
         return np.zeros((0, 2), np.int64)
     cut = np.flatnonzero(np.diff(starts) > width)
-    return np.stack([starts[np.append(0, cut + 1)], np.minimum(starts[np.append(cut, len(starts) - 1)] + width, n_words)], axis=1)
+    return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + width], axis=1).astype(np.int64)
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WINDOW) -> DataFrame:
@@ -183,21 +236,22 @@ def digest(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
 
 def _apply(df: DataFrame, text: str, key: str, width: int, columns: str, make) -> DataFrame:
     kept = clean(df, key, text).toDF("doc_id", "text")
-    gone = settle(repeated_windows(kept, width=width).groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "repeats")
-    gone = broadcast_if_small(gone, measured_bytes(gone))
-    joined = kept.join(gone, "doc_id", "left")
+    gone = settle(removals(kept, width=width), "repeats")
+    # the same join at every size: what is removed grows with the input
+    joined = kept.join(gone.hint("merge"), "doc_id", "left")
     schema = f"`{key}` {kept.schema[0].dataType.simpleString()}, n_words long, n_removed long, {columns}"
     names = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _text.utf8(batch.column(1))
-            lists = batch.column(2).to_pylist()
+            packed = batch.column(2).to_pylist()
             rows = []
-            for i, packed in enumerate(lists):
+            for i in range(len(batch)):
                 part = data[offsets[i] : offsets[i + 1]]
                 whole = part.tobytes().split()  # at the six ASCII separators
-                spans = covered(len(whole), np.concatenate([np.frombuffer(x, np.uint32) for x in packed]), width) if packed else _NONE
+                spans = expand(packed[i]).reshape(-1, 2) if packed[i] is not None else _NONE
+                spans = spans[spans[:, 1] <= len(whole)]  # rows of one id can differ in text
                 removed = int((spans[:, 1] - spans[:, 0]).sum())
                 if len(spans):
                     edges = [0, *spans.ravel().tolist(), len(whole)]
