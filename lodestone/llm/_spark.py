@@ -63,6 +63,17 @@ def measured_bytes(df: DataFrame) -> int:
     return int(df.agg(F.coalesce(F.sum(each.cast("long")), F.lit(0)).alias("n")).head()[0])
 
 
+#: Rows that travel to a Python worker at once: a few MB of text, on both sides of the pipe.
+ARROW_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to what documents allow, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def clean(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

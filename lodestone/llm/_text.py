@@ -19,8 +19,8 @@ IS_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-#: Text handled at once; a longer document is handled alone.
-CHUNK_BYTES = 1 << 21
+#: Text handled at once, which bounds the arrays beside it; a longer document is handled alone.
+CHUNK_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

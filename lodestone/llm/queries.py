@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, html_extract, language_id, media_columns, minhash_dedup, mixing, packing, quality_resampling, secret_scan, substring_dedup
+from ._spark import bounded_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
