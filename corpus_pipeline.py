@@ -7,32 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import language_id, minhash_dedup, mixing, packing, secret_scan
-from lodestone.llm._spark import settle
+from lodestone.llm._spark import bounded_batches, settle
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose main language is known stay."""
+    bounded_batches(spark)
     model = language_id.train(docs.where(~language_id.held_out("doc_id")))
     return language_id.accept(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    bounded_batches(spark)
     return minhash_dedup.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are masked."""
+    bounded_batches(spark)
     return secret_scan.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources meet their target weights."""
+    bounded_batches(spark)
     return mixing.resample(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces packed into windows of 1024."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 
