@@ -2,8 +2,9 @@
 
 Two bag-of-n-grams models over hashed word unigrams and bigrams are counted: one of
 target text (rows labelled good), one of the raw corpus (all rows). A document's log
-weight is the sum over its n-grams of the log ratio of the two models. Adding Gumbel
-noise, drawn from a hash of the document's id, and taking the ``k`` largest sums
+weight is the mean over its n-grams of the log ratio of the two models, times
+``NORM``: the importance weight of a text like it with that many n-grams, so that
+length alone decides nothing. Adding Gumbel noise, drawn from a hash of the document's id, and taking the ``k`` largest sums
 samples ``k`` documents without replacement in proportion to their weights.
 
 The k-th largest sum is found by narrowing histograms over all rows, so nothing is
@@ -21,13 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
 from ._spark import clean, settle
 
 BUCKETS = 1 << 16
+#: Labelled good rows that the target model is counted over; beyond, a hash of the id decides which.
+TARGET_ROWS = 200_000
+#: N-grams of the text whose importance weight a document gets.
+NORM = 500
 _SLICES = 16
 _BINS = 4096
 
@@ -61,10 +66,19 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()])})
 
 
-def fit(df: DataFrame, target: Column, text: str = "text", smoothing: float = 1.0) -> np.ndarray:
+def marked(df: DataFrame, targets: DataFrame, text: str, key: str, bound: int) -> DataFrame:
+    """``(text, target)`` of all rows; at most ``bound`` target ids (in expectation) are used, so they are broadcast."""
+    ids = targets.select(F.col(f"`{key}`").alias("_id")).where("_id is not null").distinct()
+    n = ids.count()
+    if n > bound:
+        ids = ids.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+    found = df.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids.withColumn("target", F.lit(True))), "_id", "left")
+    return found.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def fit(df: DataFrame, targets: DataFrame, text: str = "text", key: str = "doc_id", smoothing: float = 1.0, bound: int = TARGET_ROWS) -> np.ndarray:
     """Log ratio of the target's to the raw model's probability for each bucket; 0 without target rows."""
-    marked = df.select(F.col(f"`{text}`").alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    counted = marked.mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
+    counted = marked(df, targets, text, key, bound).mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
     found = {r[0]: bytes(r[1]) for r in counted.collect()}  # 32 rows of 32 KB
     if not found:
         return np.zeros(BUCKETS)
@@ -85,7 +99,8 @@ def score(df: DataFrame, ratio: np.ndarray, text: str = "text", key: str = "doc_
             data, offsets = _text.utf8(batch.column(1))
             for a, b in _text.chunks(offsets):
                 bucket, doc = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                total[a:b] = np.bincount(doc, weights=shared.value[bucket], minlength=b - a)
+                sums = np.bincount(doc, weights=shared.value[bucket], minlength=b - a)
+                total[a:b] = NORM * sums / np.maximum(np.bincount(doc, minlength=b - a), 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total)], names=[key, "log_weight"])
 
     weighted = kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, log_weight double")
@@ -116,14 +131,8 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def resample(df: DataFrame, target: Column, share: float | None = None, text: str = "text", key: str = "doc_id", seed: int = 7) -> DataFrame:
-    """One row per input row: key, ``log_weight``, ``noisy``, ``kept``.
-
-    ``share`` of all rows is kept; by default the share of good rows among those where
-    ``target`` is not null.
-    """
-    good, judged = df.agg(F.count_if(target), F.count(target)).head()
-    share = share if share is not None else (good / judged if judged else 1.0)
-    scored = settle(score(df, fit(df, target, text), text, key, seed), "scores")
+def resample(df: DataFrame, targets: DataFrame, share: float, text: str = "text", key: str = "doc_id", seed: int = 7) -> DataFrame:
+    """One row per input row: key, ``log_weight``, ``noisy``, ``kept``; ``share`` of all rows is kept, as the ids of ``targets`` suggest."""
+    scored = settle(score(df, fit(df, targets, text, key), text, key, seed), "scores")
     limit = kth_largest(scored, "noisy", round(share * scored.count()))
     return scored.withColumn("kept", F.col("noisy") >= F.lit(limit) if limit is not None else F.lit(False))

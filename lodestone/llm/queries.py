@@ -41,9 +41,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
-    return quality_resampling.resample(docs, F.col("quality") == 1)
+    labels = _read(spark, sf_dir, "labels")
+    good, judged = labels.agg(F.count_if(F.col("quality") == 1), F.count("quality")).head()
+    targets = labels.where("quality = 1").select("doc_id")
+    return quality_resampling.resample(_read(spark, sf_dir, "documents"), targets, good / judged if judged else 1.0)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
