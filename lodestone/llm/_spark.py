@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by all nodes: ``spark.checkpoint.dir``, or a local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+        found = _OWN[app]
     return found.rstrip("/")
 
 

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
@@ -286,12 +286,12 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", **options)
 
     Of repeated rows of one id one stays: the first by their text.
     """
-    gone = near_duplicates(df, text, key, **options).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    gone = settle(gone, "gone")
-    left = df.join(broadcast_if_small(gone, measured_bytes(gone)), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
-    repeated = settle(left.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_id")).count().where("count > 1").select("_id"), "repeated")
+    gone = settle(near_duplicates(df, text, key, **options).where("not kept").select(F.col(key).alias("_gone")).distinct(), "gone")
+    left = df.join(broadcast_if_small(gone, measured_bytes(gone)), df[f"`{key}`"] == gone["_gone"], "left_anti")
+    repeated = settle(left.select(F.col(f"`{key}`").alias("_id")).where("_id is not null").groupBy("_id").count().where("count > 1").select("_id"), "repeated")
     if repeated.isEmpty():
         return left
-    same: Column = F.col(f"`{key}`") == F.col("_id")
-    once = left.join(repeated, same, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(f"`{key}`").orderBy(F.col(f"`{text}`")))).where("_n = 1").drop("_n")
+    same = left[f"`{key}`"] == repeated["_id"]
+    rank = "__lodestone_rank"
+    once = left.join(repeated, same, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(f"`{key}`").orderBy(F.col(f"`{text}`")))).where(F.col(rank) == 1).drop(rank)
     return left.join(repeated, same, "left_anti").unionByName(once)
