@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,12 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_BYTES = 16 << 20
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all nodes share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+        found = _OWN[app]
     return found.rstrip("/")
 
 
@@ -25,3 +33,21 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once an application, unless their path has it."""
+    package = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if app in _SHIPPED or package.parent in on_path:
+        return
+    target = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
