@@ -6,13 +6,13 @@ convex; every source's multiplier is found by safeguarded Newton steps, all sour
 at once, as a column expression over the table of sources. That table is the
 aggregate of the documents and is never collected.
 
-Rates become whole copies by systematic rounding: within a source, documents are
-taken in order of size and every time the running sum of fractional rates passes a
-whole number, one document gets a copy more. As sizes are in order, a source's words
-miss their target by about one largest document at most. The running sums are
-made in three bounded levels (sizes of a source, salts of a size, documents of a
-salt), so that neither a hot source nor a third of all rows with one size lands in
-one task.
+Rates become whole copies by rounding with carried error: the sizes of a source are
+taken from the largest down; of each, as many documents get one copy more as come
+nearest to the words that their fractional rates ask for and what earlier sizes left
+over. So a source misses its target by about half of its smallest document, if small ones
+are there to make up. It needs one row for each size of a source; the documents of a
+size that get the copy are chosen within salts of it, so that neither a hot source nor
+a third of all rows with one size lands in one task.
 
 Defined results: null or blank text has size 0 and takes nothing; a null source is
 a source of its own, sorted last; repeated rows count and are rounded each; an empty
@@ -21,6 +21,9 @@ table gives no rows; other columns are kept out.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,32 +95,43 @@ def source_rates(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: fl
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("position") % len(weights) + 1).cast("int"))
     filled = waterfill(sources, weight, most)
     size, target = F.col("source_size").cast("double"), F.col("target")
-    rate = F.when((size > 0) & (target > 0), F.least(F.lit(float(most)), F.exp(multiplier(size, target)))).otherwise(F.lit(0.0))
+    rate = F.when((size > 0) & (target > 0), F.least(F.lit(float(most)), F.round(F.exp(multiplier(size, target)), 12))).otherwise(F.lit(0.0))
     return settle(filled.select("source", "source_size", "target", rate.alias("rate")), "rates")
 
 
+def _shuffled(key: str) -> Column:
+    """A number in [0, 2**60) that stands for a random order of keys."""
+    return F.conv(F.left(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(15)), 16, 10).cast("long")
+
+
+def _carry(table: pa.Table) -> pa.Table:
+    """One source's sizes: how many documents of each get a copy more."""
+    table = table.sort_by([("size", "descending")])
+    left, more = 0.0, []
+    for size, n, rate in zip(*(table.column(c).to_pylist() for c in ("size", "n", "rate")), strict=True):
+        wanted = n * (rate - math.floor(rate)) * size + left
+        more.append(max(0, min(n, math.floor(wanted / size + 0.5))) if size else 0)
+        left = wanted - more[-1] * size
+    return pa.table({"_key": table.column("_key"), "size": table.column("size"), "more": pa.array(more, pa.int64())})
+
+
 def copies(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """``docs(doc_id, source, size)`` with ``source_size``, ``target``, ``rate`` and whole ``copies``."""
-    order = F.xxhash64(F.col("doc_id"))
-    docs = docs.withColumn("_order", order).withColumn("_salt", F.pmod(F.shiftright("_order", 7), F.lit(SALTS)).cast("int")).withColumn("_key", _key("source"))
+    docs = docs.withColumn("_order", _shuffled("doc_id")).withColumn("_salt", (F.shiftright("_order", 7) % SALTS).cast("int")).withColumn("_key", _key("source"))
     rates = rates.withColumn("_key", _key("source")).drop("source")
     cells = docs.groupBy("_key", "size", "_salt").agg(F.count("*").alias("n"))
     sizes = cells.groupBy("_key", "size").agg(F.sum("n").alias("n")).join(rates, "_key")
-    # a size whose rate is whole has no fraction; a fixed half step starts the rounding
-    fraction = F.col("rate") - F.floor("rate")
-    running = F.sum(F.col("n") * fraction).over(Window.partitionBy("_key").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    sizes = sizes.withColumn("_up", F.floor(running + 0.5)).withColumn("more", F.col("_up") - F.coalesce(F.lag("_up").over(Window.partitionBy("_key").orderBy("size")), F.lit(0)))
-    more = F.least(F.greatest("more", F.lit(0)), F.col("n"))
-    sizes = sizes.select("_key", "size", F.col("n").alias("all"), more.alias("more"), "source_size", "target", "rate")
-    share = Window.partitionBy("_key", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.floor(F.sum("n").over(share) * F.col("more") / F.col("all"))
+    rounded = sizes.select("_key", "size", "n", "rate").groupBy("_key").applyInArrow(_carry, "_key string, size long, more long")
+    sizes = sizes.withColumnRenamed("n", "all").join(rounded, ["_key", "size"])
+    by_salt = Window.partitionBy("_key", "size").orderBy("_salt")
+    reach = F.floor(F.sum("n").over(by_salt.rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(20,0)") * F.col("more").cast("decimal(18,0)") / F.col("all").cast("decimal(20,0)")).cast("long")
     cells = cells.join(sizes, ["_key", "size"]).withColumn("_reach", reach)
-    cells = cells.withColumn("extra", F.col("_reach") - F.coalesce(F.lag("_reach").over(Window.partitionBy("_key", "size").orderBy("_salt")), F.lit(0)))
+    cells = cells.withColumn("extra", F.col("_reach") - F.coalesce(F.lag("_reach").over(by_salt), F.lit(0)))
     cells = cells.select("_key", "size", "_salt", "extra", "source_size", "target", "rate")
     rank = F.row_number().over(Window.partitionBy("_key", "size", "_salt").orderBy("_order", "doc_id"))
     found = docs.withColumn("_rank", rank).join(cells, ["_key", "size", "_salt"])
     whole = F.floor("rate") + F.when(F.col("_rank") <= F.col("extra"), 1).otherwise(0)
-    return found.withColumn("copies", F.least(whole, F.lit(MOST_COPIES)).cast("long")).drop("_key", "_salt", "_order", "_rank", "extra")
+    return found.withColumn("copies", whole.cast("long")).drop("_key", "_salt", "_order", "_rank", "extra")
 
 
 def _key(column: str) -> Column:
@@ -137,8 +151,9 @@ def resample(df: DataFrame, text: str = "text", source: str = "source", key: str
 
     Rows meet their copies by key, size and source; equal keys share the copies of one of them.
     """
-    mixed = mix(df, text, source, key, weights).groupBy(F.col(key).alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    mine = [f"__lodestone_{c}" for c in ("key", "size", "copies", "copy")]
+    mixed = mix(df, text, source, key, weights).groupBy(F.col(key).alias(mine[0]), F.col("size").alias(mine[1])).agg(F.max("copies").alias(mine[2]))
     mixed = settle(mixed, "copies")
     mixed = broadcast_if_small(mixed, measured_bytes(mixed))
-    joined = df.join(mixed, F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (n_words(text) == F.col("_size")))
-    return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    joined = df.join(mixed, F.col(f"`{key}`").eqNullSafe(F.col(mine[0])) & (n_words(text) == F.col(mine[1])))
+    return joined.withColumn(mine[3], F.explode(F.array_repeat(F.lit(1), F.col(mine[2]).cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
