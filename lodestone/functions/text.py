@@ -219,21 +219,34 @@ def human_bytes(x: Column | str) -> Column:
 
 
 def safe_filename(x: Column | str, most: int = 120) -> Column:
-    cleaned = F.regexp_replace(F.regexp_replace(col(x), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
-    return F.when(cleaned == "", F.lit("file")).otherwise(F.left(cleaned, F.lit(most)))
+    """A file name: other signs than words, hyphens and dots, and blanks, as underscores."""
+    cleaned = F.regexp_replace(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"(?U)[^\w\s.-]+", "_"), r"(?U)\s+", "_")
+    name = F.left(F.regexp_replace(cleaned, r"^[._]+|[._]+$", ""), F.lit(most))
+    return F.when(name == "", F.lit("untitled")).otherwise(name)
+
+
+def directory_slug(x: Column | str, most: int = 60) -> Column:
+    """A folder name: lower case, words joined by hyphens."""
+    words = F.lower(F.trim(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"(?U)[^\w\s-]+", "")))
+    name = F.left(F.regexp_replace(F.regexp_replace(words, r"(?U)[\s_-]+", "-"), r"^-+|-+$", ""), F.lit(most))
+    return F.when(name == "", F.lit("untitled")).otherwise(name)
+
+
+#: HTML elements whose text isn't the page's.
+UNREAD = ("script", "style", "noscript", "iframe", "form")
 
 
 def html_to_text(x: Column | str) -> Column:
-    """Page text without script, style, noscript, iframe and form elements; one line per text line, none blank."""
+    """Page text without scripts, styles, frames and forms: a line per text node, blank lines no more than one by one."""
     page = F.coalesce(col(x), F.lit(""))
-    for tag in ("script", "style", "noscript", "iframe", "form"):
-        page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    page = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
-    page = F.regexp_replace(page, r"(?s)<[^>]*>", "\n")
+    for tag in UNREAD:
+        page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "<x>")
+    page = F.regexp_replace(page, r"(?s)<!--.*?-->", "<x>")
+    page = F.regexp_replace(page, r"(?s)(?:<[^>]*>)+", "\n")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         page = F.replace(page, F.lit(entity), F.lit(sign))
-    lines = F.filter(F.transform(F.split(page, "\n"), lambda s: F.trim(F.regexp_replace(s, r"[ \t\r]+", " "))), lambda s: s != "")
-    return F.array_join(lines, "\n")
+    lines = F.transform(F.split(page, "\n"), lambda s: F.regexp_replace(s, r"^[ \t\r\f]+|[ \t\r\f]+$", ""))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
 def unwrap_redirect(url: Column | str, parameter: str = "uddg") -> Column:

@@ -85,21 +85,22 @@ def chunk_pack_overlap(spark, sf_dir):
 
 def _html_sql() -> str:
     page = "coalesce(html, '')"
-    for tag in ("script", "style", "noscript", "iframe", "form"):
-        page = f"regexp_replace({page}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
-    page = f"regexp_replace({page}, '(?s)<!--.*?-->', ' ', 'g')"
-    page = f"regexp_replace({page}, '(?s)<[^>]*>', chr(10), 'g')"
+    for tag in X.UNREAD:
+        page = f"regexp_replace({page}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '<x>', 'g')"
+    page = f"regexp_replace({page}, '(?s)<!--.*?-->', '<x>', 'g')"
+    page = f"regexp_replace({page}, '(?s)(?:<[^>]*>)+', chr(10), 'g')"
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         page = f"replace({page}, '{entity}', '{sign}')"
     return f"""WITH t AS (SELECT page_id, {page} AS x FROM pages),
-    l AS (SELECT page_id, list_filter(list_transform(string_split(x, chr(10)), lambda s: trim(regexp_replace(s, '[ \\t\\r]+', ' ', 'g'))), lambda s: s <> '') AS lines FROM t)
-    SELECT page_id, len(lines) AS n_lines, md5(array_to_string(lines, chr(10))) AS digest FROM l"""
+    l AS (SELECT page_id, array_to_string(list_transform(string_split(x, chr(10)), lambda s: regexp_replace(s, '^[ \\t\\r\\f]+|[ \\t\\r\\f]+$', '', 'g')), chr(10)) AS x FROM t),
+    s AS (SELECT page_id, regexp_replace(regexp_replace(x, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS x FROM l)
+    SELECT page_id, length(x) AS n_chars, md5(x) AS digest FROM s"""
 
 
 @query(_html_sql())
 def html_to_text(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", X.html_to_text("html").alias("text"))
-    return pages.select("page_id", F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return pages.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(

@@ -88,7 +88,10 @@ def test_looks_numeric(spark, raw, expected):
 
 
 def test_html_and_links(spark):
-    assert one(spark, text.html_to_text("x"), "<p>a &amp; b</p><script>x</script>\n\n<form>q</form><p> c  d</p>") == "a & b\nc d"
+    assert one(spark, text.html_to_text("x"), "<p>a &amp; b</p><script>x</script>\n\n<form>q</form><p> c  d</p><b>e</b>") == "a & b\n\nc  d\ne"
+    assert one(spark, text.safe_filename("x"), "Q1: report/final.pdf ") == "Q1__report_final.pdf"
+    assert one(spark, text.safe_filename("x"), "...") == "untitled"
+    assert one(spark, text.directory_slug("x"), "Apple Inc. -- 2024") == "apple-inc-2024"
     assert one(spark, text.unwrap_redirect("x"), "//duck.example/l/?uddg=https%3A%2F%2Fa.b%2Fc&r=1") == "https://a.b/c"
     assert one(spark, text.unwrap_redirect("x"), "https://a.b") == "https://a.b"
     assert one(spark, text.looks_like_pdf("x"), b"%PDF-1.7 ...", "x binary")
