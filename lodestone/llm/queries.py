@@ -81,7 +81,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
+
+def _secret_sql() -> str:
+    """Matches and the text between them give the spans: DuckDB has no match positions."""
+    parts, listed = [], []
+    for order, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        starts = f"list_transform(range(1, len(m{order}) + 1), lambda i: CAST(list_sum(list_transform(s{order}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{order}[1:i - 1], lambda x: length(x))), 0) AS BIGINT))"
+        parts.append(f"regexp_extract_all(text, '{pattern}') AS m{order}, regexp_extract_all(text, '{pattern}', {rule.group}) AS g{order}, string_split_regex(text, '{pattern}') AS s{order}")
+        row = f"{{'s': b{order}[i], 'o': {order}, 'e': b{order}[i] + length(m{order}[i]), 'k': '{rule.kind}'}}"
+        listed.append((f"{starts} AS b{order}", f"list_transform(list_filter(range(1, len(m{order}) + 1), lambda i: length(g{order}[i]) >= {rule.least}), lambda i: {row})"))
+    base = [r.kind for r in secret_scan.RULES if r.base]
+    text_of = lambda spans: f"array_to_string(list_transform({spans}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    counts = ", ".join(f"len(list_filter(spans, lambda x: x.k = '{k}')) AS n_{k}" for k in base)
+    kept = "list_filter(spans, lambda x: x.o < " + str(len(base)) + ")"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS (SELECT doc_id, {', '.join(parts)} FROM d),
+b AS (SELECT *, {', '.join(x for x, _ in listed)} FROM m),
+r AS (SELECT doc_id, list_sort({' || '.join(x for _, x in listed)}) AS spans FROM b)
+SELECT doc_id, {counts}, sha256({text_of(kept)}) AS base_sha256, {text_of('spans')} AS spans FROM r"""
+
+
+#: For pages that hold their text in an article element, which is not what the operator relies on.
+_ARTICLE_SQL = """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '(?s)<[^>]*(?:>|$)', ' ', 'g') AS x FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS x FROM b),
+t AS (SELECT page_id, url, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM t"""
+
 ORACLES: dict[str, str] = {
+    "op2_secret_scan": _secret_sql(),
+    "op3_html_extract": _ARTICLE_SQL,
     "op1_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
