@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import class_iri, property_iri
 from ..functions.shapes import is_person_name
 from ..functions.text import OWL_THING, label_tokens, local_name, mint_namespace, namespace_of
 from ..session import settle
+from .ranking import global_rank
 from .search import token_set_match
 
 # Landforms, events named after places, and roots of geography.
@@ -222,4 +223,4 @@ def cached(keys: DataFrame, store: DataFrame, make, key: str = "key") -> tuple[D
 
 def batches_of(rows: DataFrame, n: int, key: str) -> DataFrame:
     """Rows with a ``batch`` number, ``n`` rows each in order of key."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / n).cast("int"))
+    return global_rank(rows, [(key, False)], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / n).cast("int"))

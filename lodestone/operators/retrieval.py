@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip
+from .ranking import global_rank
 
 
 def hits(edges: DataFrame, matched: DataFrame, limit: int | None = 500, source: str = "source_id", target: str = "target_id") -> DataFrame:
@@ -61,11 +62,9 @@ def append_absent(lists: list[DataFrame], key: str) -> DataFrame:
 
 def pack_evidence(chunks: DataFrame, artifacts: DataFrame, cap: int = 600) -> DataFrame:
     """``(rank, kind, id, score, snippet)``: chunks by score, then artifacts by score; texts clipped to one line."""
-    order = lambda: Window.partitionBy(F.lit(1)).orderBy(F.col("score").desc(), "id")  # noqa: E731  a handful of rows
-    first = chunks.select(F.row_number().over(order()).alias("rank"), F.lit("chunk").alias("kind"), "id", "score", clip("text", cap).alias("snippet"))
-    n = F.broadcast(chunks.agg(F.count("*").alias("_n")))
-    then = artifacts.withColumn("_r", F.row_number().over(order())).join(n).select((F.col("_r") + F.col("_n")).cast("int").alias("rank"), F.lit("artifact").alias("kind"), "id", "score", clip("text", cap).alias("snippet"))
-    return first.unionByName(then)
+    part = lambda df, n, kind: df.select(F.lit(n).alias("_part_no"), F.lit(kind).alias("kind"), "id", "score", clip("text", cap).alias("snippet"))
+    both = part(chunks, 0, "chunk").unionByName(part(artifacts, 1, "artifact"))
+    return global_rank(both, [("_part_no", False), ("score", True), ("id", False)]).select("rank", "kind", "id", "score", "snippet")
 
 
 def wants_probes(intent: str, n_entities: int, cap: int = 8) -> bool:

@@ -16,9 +16,9 @@ from .search import neighbour_join
 BY_CONFIDENCE = ("confidence", "id")
 
 
-def clusters(artifacts: DataFrame, threshold: float = 0.35, k: int = 25, least: int = 2, group: str = "type", key: str = "id", vector: str = "embedding", blocks: int = 1) -> DataFrame:
+def clusters(artifacts: DataFrame, threshold: float = 0.35, k: int = 25, least: int = 2, group: str = "type", key: str = "id", vector: str = "embedding") -> DataFrame:
     """``(key, cluster)``: components of neighbour links of one type with at least ``least`` members."""
-    links = neighbour_join(artifacts, k, threshold, group, key, vector, blocks).select(F.col(key).alias("a"), F.col("other").alias("b"))
+    links = neighbour_join(artifacts, k, threshold, group, key, vector).select(F.col(key).alias("a"), F.col("other").alias("b"))
     comps = settle(components(links), "clusters")
     large = comps.groupBy("component").count().where(F.col("count") >= least).select("component")
     return comps.join(large, "component").select(F.col("node").alias(key), F.col("component").alias("cluster"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +34,55 @@ def rerank(candidates: DataFrame, probes: DataFrame, k: int, key: str = "id", ve
     return far.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy("distance", key))).where(F.col("rank") <= k)
 
 
-def neighbour_join(df: DataFrame, k: int, threshold: float, group: str, key: str = "id", vector: str = "embedding", blocks: int = 1, queries: DataFrame | None = None) -> DataFrame:
+#: Rows of a group that meet as many others in one task.
+BLOCK = 1024
+
+
+def _nearest(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One block of queries against one block of its group: each query's ``k`` nearest, by distance, then id."""
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        rows = lambda part: np.array(part.column("vector").to_pylist(), dtype=np.float64)
+        left, right = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+        ids, others = left.column("_id").to_pylist(), np.array(right.column("_id").to_pylist(), dtype=object)
+        a, b, far = [], [], []
+        if len(left) and len(right):
+            order = np.argsort(others, kind="stable")
+            others, found, wanted = others[order], rows(right)[order], rows(left)
+            for i, me in enumerate(ids):
+                distance = np.sqrt(((found - wanted[i]) ** 2).sum(axis=1))
+                distance[others == me] = np.inf
+                limit = np.partition(distance, min(k, len(distance)) - 1)[min(k, len(distance)) - 1]
+                near = np.flatnonzero(distance <= limit)
+                near = near[np.argsort(distance[near], kind="stable")][:k]
+                near = near[np.isfinite(distance[near])]
+                a += [me] * len(near)
+                b += others[near].tolist()
+                far += distance[near].tolist()
+        kind = table.column("_id").type
+        return pa.table({"_a": pa.array(a, kind), "_b": pa.array(b, kind), "distance": pa.array(far, pa.float64())})
+
+    return run
+
+
+def neighbour_join(df: DataFrame, k: int, threshold: float, group: str, key: str = "id", vector: str = "embedding", block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
     """``(group, key, other, distance, rank)``: of each row's ``k`` nearest rows of its group, those within ``threshold``.
 
-    First the ``k`` nearest, then the threshold. A group is dealt into ``blocks`` on the
-    side that is searched; every block keeps its own ``k`` before they meet, so a hot group is spread.
-    ``queries`` holds the keys to search for; by default all.
+    First the ``k`` nearest, then the threshold. Groups are dealt into blocks of about ``block`` rows, and a block of
+    queries meets a block of rows in one task, which returns ``k`` rows a query: pairs never become rows, and a hot
+    group is spread. ``queries`` holds the keys to search for; by default all.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(group, key, vector)
-    left = rows if queries is None else rows.join(queries.select(key), key, "left_semi")
-    left = left.select(F.col(group).alias("_g"), F.col(key).alias("_a"), F.col(vector).alias("_av"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    right = rows.select(F.col(group).alias("_g"), F.col(key).alias("_b"), F.col(vector).alias("_bv"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"))
-    far = left.join(right, ["_g", "_block"]).where("_a <> _b").select("_g", "_a", "_b", "_block", l2_distance("_av", "_bv").alias("distance"))
-    here = far.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_a", "_block").orderBy("distance", "_b"))).where(F.col("_r") <= k)
-    best = here.withColumn("rank", F.row_number().over(Window.partitionBy("_g", "_a").orderBy("distance", "_b"))).where((F.col("rank") <= k) & (F.col("distance") <= threshold))
-    return best.select(F.col("_g").alias(group), F.col("_a").alias(key), F.col("_b").alias("other"), "distance", "rank")
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(group).alias("_g"), F.col(key).alias("_id"), F.col(vector).alias("vector"))
+    sizes = rows.groupBy("_g").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    placed = rows.join(sizes, "_g").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_n").cast("long")).cast("int"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    asking = placed if queries is None else placed.join(queries.select(F.col(key).alias("_id")), "_id", "left_semi")
+    asked = asking.select("_g", F.col("_block").alias("_q"), all_blocks.alias("_d"), F.lit(True).alias("asks"), "_id", "vector")
+    met = asked.unionByName(placed.select("_g", all_blocks.alias("_q"), F.col("_block").alias("_d"), F.lit(False).alias("asks"), "_id", "vector"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    here = met.groupBy("_g", "_q", "_d").applyInArrow(_nearest(k), f"_a {kind}, _b {kind}, distance double")
+    best = here.withColumn("rank", F.row_number().over(Window.partitionBy("_a").orderBy("distance", "_b"))).where((F.col("rank") <= k) & (F.col("distance") <= threshold))
+    return best.join(rows.select(F.col("_g").alias(group), F.col("_id").alias("_a")), "_a").select(group, F.col("_a").alias(key), F.col("_b").alias("other"), "distance", "rank")
 
 
 def rrf(lists: DataFrame, k: int = 60, key: str = "id") -> DataFrame:

@@ -162,16 +162,15 @@ def entity_resolve_exact_then_fuzzy(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: len(w) >= 9))) AS name FROM benchmark),
-    e AS (SELECT DISTINCT name FROM b), d AS (SELECT doc_id, lower(text) AS text FROM documents)
-    SELECT name, count(*) AS n_docs, min(doc_id) AS first_doc FROM e JOIN d ON contains(d.text, e.name) GROUP BY name"""
+    """WITH n AS (SELECT DISTINCT conv_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: len(w) >= 6)) AS name FROM conversations WHERE role = 'user')
+    SELECT c.conv_id, c.turn, n.name FROM conversations c JOIN n ON n.conv_id = c.conv_id WHERE c.role = 'assistant' AND contains(lower(c.text), n.name)"""
 )
 def entity_substring_link(spark, sf_dir):
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 9)
-    names = read(spark, sf_dir, "benchmark").select(F.explode(words).alias("name")).distinct().select(F.lit(0).alias("scope"), "name")
-    docs = read(spark, sf_dir, "documents").select(F.lit(0).alias("scope"), "doc_id", "text")
-    linked = resolution.link_by_substring(docs, F.broadcast(names), "scope", "text", "name")
-    return linked.groupBy("name").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    turns = read(spark, sf_dir, "conversations")
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 6)
+    names = turns.where("role = 'user'").select("conv_id", F.explode(words).alias("name")).distinct()
+    linked = resolution.link_by_substring(turns.where("role = 'assistant'").select("conv_id", "turn", "text"), names, "conv_id", "text", "name")
+    return linked.select("conv_id", "turn", "name")
 
 
 @query(
@@ -191,7 +190,7 @@ def text_snippets(spark, sf_dir):
 )
 def evidence_pack(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text", F.col("n_chars").cast("double").alias("score"))
-    return retrieval.pack_evidence(docs.where("lang = 'en'"), docs.where("lang <> 'en'")).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.pack_evidence(docs.where("lang = 'en'"), docs.where("lang <> 'en'"))
 
 
 @query(
@@ -288,7 +287,7 @@ _NEIGHBOURS = f"""d AS (SELECT a.label, a.vec_id, b.vec_id AS other, {_DIST.form
 @query(f"""WITH {_NEIGHBOURS} SELECT label, vec_id, other, round(distance, 5) AS distance, rank FROM k WHERE rank <= 5 AND distance <= 1.15""")
 def knn_self_join_threshold(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    found = search.neighbour_join(rows, 5, 1.15, "label", "vec_id", blocks=4)
+    found = search.neighbour_join(rows, 5, 1.15, "label", "vec_id")
     return found.select("label", "vec_id", "other", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -300,7 +299,7 @@ _CLUSTERS = f"""{_NEIGHBOURS}, l AS (SELECT vec_id AS a, other AS b FROM k WHERE
 @query(f"""WITH RECURSIVE {_CLUSTERS} SELECT vec_id, cluster FROM m""")
 def rollup_components(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    return rollup.clusters(rows, 1.15, 25, 2, "label", "vec_id", blocks=4)
+    return rollup.clusters(rows, 1.15, 25, 2, "label", "vec_id")
 
 
 @query(
@@ -309,7 +308,7 @@ def rollup_components(spark, sf_dir):
 )
 def rollup_batches(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    members = rollup.clusters(rows, 1.15, 25, 2, "label", "vec_id", blocks=4).withColumn("confidence", F.col("vec_id") % 7)
+    members = rollup.clusters(rows, 1.15, 25, 2, "label", "vec_id").withColumn("confidence", F.col("vec_id") % 7)
     return rollup.batches(members, 4, 2, key="vec_id").select("vec_id", "cluster", F.col("batch").cast("long").alias("batch"))
 
 

@@ -120,13 +120,39 @@ def test_knn_and_rerank(spark):
     assert rows(search.rerank(df, probes, 1), "probe", "id") == [(0, 1), (1, 3)]
 
 
-@pytest.mark.parametrize("blocks", [1, 3])
-def test_neighbours_are_k_first_then_threshold(spark, blocks):
+@pytest.mark.parametrize("block", [1024, 2])
+def test_neighbours_are_k_first_then_threshold(spark, block):
     df = spark.createDataFrame([(i, "t", [float(x), 0.0]) for i, x in enumerate([0, 1, 2, 10])] + [(9, "u", [0.0, 0.0])], "id long, type string, embedding array<float>")
-    got = rows(search.neighbour_join(df, 1, 1.5, "type", blocks=blocks), "id", "other")
+    got = rows(search.neighbour_join(df, 1, 1.5, "type", block=block), "id", "other")
     assert got == [(0, 1), (1, 0), (2, 1)]
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_neighbours_equal_all_pairs(spark, block):
+    import random
+
+    rng = random.Random(3)
+    data = [(i, "tu"[i % 2], [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(40)]
+    df = spark.createDataFrame(data, "id long, type string, embedding array<float>")
+    want = set()
+    for i, g, v in data:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)) ** 0.5, j) for j, h, w in data if h == g and j != i)[:4]
+        want |= {(i, j, n + 1) for n, (d, j) in enumerate(near) if d <= 1.2}
+    assert set(rows(search.neighbour_join(df, 4, 1.2, "type", block=block), "id", "other", "rank")) == want
+    some = df.where("id < 5").select("id")
+    assert set(rows(search.neighbour_join(df, 4, 1.2, "type", block=block, queries=some), "id", "other", "rank")) == {w for w in want if w[0] < 5}
+
+
+def test_global_rank(spark):
+    from lodestone.operators.ranking import global_rank
+
+    df = spark.createDataFrame([(i * 7 % 50, i) for i in range(200)], "a long, b long").repartition(5)
+    got = {r.b: r.rank for r in global_rank(df, [("a", True), ("b", False)]).collect()}
+    assert [b for b, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(200), key=lambda i: (-(i * 7 % 50), i))
+    assert sorted(got.values()) == list(range(1, 201))
+    assert global_rank(df.limit(0), [("a", True)]).count() == 0
+
+
 def test_rrf_ties_keep_the_first_list(spark):
     lists = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (1, "b", 1), (1, "a", 2), (2, "c", 1)], "list_no int, id string, rank int")
     got = search.rrf(lists).collect()
