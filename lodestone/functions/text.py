@@ -46,6 +46,9 @@ UPPER_ONTOLOGIES = (
 )
 OWL_THING = "http://www.w3.org/2002/07/owl#Thing"
 
+# The parts of a label in camel case.
+CAMEL = r"([A-Z]+(?=[A-Z][a-z])|[A-Z][a-z]+|[A-Z]+|[a-z]+|\d+)"
+
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -120,7 +123,7 @@ def label_tokens(x: Column | str) -> Column:
 def split_camel(x: Column | str) -> Column:
     """``FoodTracker`` as ``Food Tracker``; labels with a space stay."""
     c = col(x)
-    tokens = F.regexp_extract_all(c, F.lit(r"([A-Z]+(?=[A-Z][a-z])|[A-Z][a-z]+|[A-Z]+|[a-z]+|\d+)"), F.lit(1))
+    tokens = F.regexp_extract_all(c, F.lit(CAMEL), F.lit(1))
     return F.when(F.contains(c, F.lit(" ")) | (F.size(tokens) == 0), c).otherwise(F.array_join(tokens, " "))
 
 
@@ -174,9 +177,9 @@ def clip(x: Column | str, cap: int = 600) -> Column:
     return F.when(F.length(line) > cap, F.concat(F.rtrim(F.substring(line, 1, cap)), F.lit("..."))).otherwise(line)
 
 
-def scrub_citations(x: Column | str, prefixes: tuple[str, ...] = ("viao:", "http")) -> Column:
-    """Text without bracketed IRIs."""
-    return F.regexp_replace(col(x), rf"\s*\[(?:{'|'.join(prefixes)})[^\]]*\]", "")
+def scrub_citations(x: Column | str) -> Column:
+    """Text without IRIs in brackets, full or with a prefix."""
+    return F.regexp_replace(col(x), r"\s*\[[A-Za-z][A-Za-z0-9_-]*:[^\]\s][^\]]*\]", "")
 
 
 def first_nonblank(values: Column | str) -> Column:

@@ -147,7 +147,7 @@ def apply_grouping(classes: DataFrame, concepts: DataFrame, assignments: DataFra
     return whole.join(moves, "iri", "left").withColumn("parent", F.when(loose & F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("parent"))).drop("_to")
 
 
-def place_landforms(classes: DataFrame, exempt: tuple[str, ...] = ("geography", "ontocape", "intelligence-artifact", "w3.org/2006/time")) -> DataFrame:
+def place_landforms(classes: DataFrame, exempt: tuple[str, ...] = ("geography", "w3.org/2006/time")) -> DataFrame:
     """``(old, new, parent, signal)``: parentless classes named after a landform, and where they belong.
 
     The keyword is the alphabetically first of a label's; its class is the parent, else a root of geography. A class

@@ -18,7 +18,7 @@ SHORT_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "
 YEAR = r"(19[7-9]\d|20[0-3]\d)"
 _NAMES = "|".join([*MONTHS, *SHORT_MONTHS, "sept"])
 
-#: Most specific first: a match takes its span from the patterns that follow.
+# Date patterns, most specific first; a match takes its span from those that follow.
 PATTERNS = (
     ("day_iso", rf"(?i)\b{YEAR}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])\b"),
     ("day_named", rf"(?i)\b({_NAMES})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+{YEAR}\b"),

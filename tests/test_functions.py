@@ -78,7 +78,7 @@ def test_json_and_fields(spark):
     assert one(spark, text.date_field("x"), "2024-2-3") is None
     assert one(spark, text.string_field("x"), "  ") is None
     assert one(spark, text.clip("x", 5), "ab\ncdefg") == "ab cd..."
-    assert one(spark, text.scrub_citations("x"), "fact [viao:Chunk_1]. [http://x y]") == "fact."
+    assert one(spark, text.scrub_citations("x"), "fact [kg:Chunk_1]. [http://x y] [see: 3]") == "fact. [see: 3]"
     assert one(spark, text.strip_nul("x"), "a\x00b") == "ab"
 
 
