@@ -54,6 +54,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_nul(x: Column | str) -> Column:
     """The text without NUL characters."""
     return F.replace(col(x), F.lit("\x00"), F.lit(""))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SECTIONS, col
+from ..functions.text import SECTIONS, col, let
 
 
 def tokens(text: Column | str) -> Column:
@@ -28,17 +28,24 @@ def paragraphs(text: Column | str, separator: str = "\n\n") -> Column:
 
 def windows(text: Column | str, size: int, overlap: int = 0) -> Column:
     """Token windows every ``max(1, size - overlap)`` tokens, joined by blanks; a short text is one window."""
-    words, step = tokens(text), max(1, size - overlap)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step))
-    cut = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
-    return F.when(F.size(words) <= size, F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))).otherwise(cut)
+    step = max(1, size - overlap)
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step))
+        pieces = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) <= size, F.array(F.array_join(words, " "))).otherwise(pieces)
+
+    return let(tokens(text), cut)
 
 
 def split_long(text: Column | str, size: int) -> Column:
     """A text of more than ``size`` tokens in pieces of ``size``; otherwise itself."""
-    words = tokens(text)
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size)), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
-    return F.when(F.size(words) <= size, F.array(col(text))).otherwise(pieces)
+
+    def cut(words: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size)), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+        return F.when(F.size(words) <= size, F.array(col(text))).otherwise(pieces)
+
+    return let(tokens(text), cut)
 
 
 def pack(parts: Column, size: int, overlap: int, separator: str) -> Column:
@@ -46,23 +53,41 @@ def pack(parts: Column, size: int, overlap: int, separator: str) -> Column:
 
     A chunk closes when the next part would take it over ``size`` tokens. The last ``overlap`` tokens of a closed
     chunk, its own overlap included, open the next one if the chunk is longer than that.
+
+    One fold over the parts' token counts finds where chunks end; a second, over the chunks, carries the overlap.
     """
-    chunk = "struct<text: string, token_count: int>"
-    zero = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("tail"))
-
-    def close(s: Column) -> Column:
-        body = F.array_join(s["parts"], separator)
-        words = F.concat(s["tail"], tokens(body))
-        text = F.when(F.size(s["tail"]) > 0, F.array_join(words, " ")).otherwise(body)
-        tail = F.when((F.lit(overlap) > 0) & (F.size(words) > overlap), F.slice(words, -max(overlap, 1), max(overlap, 1))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(s["done"], F.array(F.struct(text.alias("text"), F.size(words).alias("token_count")))).alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("n"), tail.alias("tail"))
-
-    def add(s: Column, part: Column) -> Column:
-        n = F.size(tokens(part))
-        put = lambda t: F.struct(t["done"].alias("done"), F.concat(t["parts"], F.array(part)).alias("parts"), (t["n"] + n).alias("n"), t["tail"].alias("tail"))
-        return F.when((s["n"] + n > size) & (F.size(s["parts"]) > 0), put(close(s))).otherwise(put(s))
-
-    return F.aggregate(parts, zero, add, lambda s: F.when(F.size(s["parts"]) > 0, close(s)["done"]).otherwise(s["done"]))
+    bound = "struct<start: int, n: int>"
+    zero = F.struct(F.array().cast(f"array<{bound}>").alias("done"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("held"))
+
+    def end(s: Column) -> Column:
+        return F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["n"].alias("n"))))
+
+    def add(s: Column, count: Column) -> Column:
+        full = (s["held"] + count > size) & (s["n"] > 0)
+        fresh = F.struct(end(s).alias("done"), (s["start"] + s["n"]).alias("start"), F.lit(1).alias("n"), count.alias("held"))
+        grown = F.struct(s["done"].alias("done"), s["start"].alias("start"), (s["n"] + 1).alias("n"), (s["held"] + count).alias("held"))
+        return F.when(full, fresh).otherwise(grown)
+
+    def assemble(whole: Column) -> Column:
+        counts = F.transform(whole, token_count)
+        bounds = F.aggregate(counts, zero, add, lambda s: F.when(s["n"] > 0, end(s)).otherwise(s["done"]))
+        bodies = F.transform(bounds, lambda b: F.array_join(F.slice(whole, b["start"] + 1, b["n"]), separator))
+        if not overlap:
+            return F.transform(bodies, lambda b: F.struct(b.alias("text"), token_count(b).alias("token_count")))
+        none = F.array().cast("array<string>")
+        start = F.struct(F.array().cast("array<struct<text: string, token_count: int>>").alias("done"), none.alias("tail"))
+
+        def carry(s: Column, body: Column) -> Column:
+            def one(words: Column) -> Column:
+                text = F.when(F.size(s["tail"]) > 0, F.array_join(words, " ")).otherwise(body)
+                tail = F.when(F.size(words) > overlap, F.slice(words, -overlap, overlap)).otherwise(none)
+                return F.struct(F.concat(s["done"], F.array(F.struct(text.alias("text"), F.size(words).alias("token_count")))).alias("done"), tail.alias("tail"))
+
+            return let(F.concat(s["tail"], tokens(body)), one)
+
+        return F.aggregate(bodies, start, carry, lambda s: s["done"])
+
+    return let(parts, assemble)
 
 
 def chunk(df: DataFrame, text: str = "text", size: int = 800, overlap: int = 120, separator: str = "\n\n") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
-from ..functions.text import col
+from ..functions.text import col, let
 
 # Months by name and by abbreviation, and the years that count.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -42,26 +42,29 @@ def masked_mentions(text: Column | str) -> Column:
     Each pattern's matches are blanked out before the next is tried. Texts where two patterns overlap in part
     can differ from :func:`mentions`, which claims spans; dates that don't exist give nothing in both.
     """
-    rest, found = F.coalesce(col(text), F.lit("")), []
     number = lambda s, p, g=1: F.regexp_extract(s, p, g).try_cast("int")
-    for kind, pattern in PATTERNS:
+    named = r"(?i)([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
+    iso = lambda s: F.format_string("%s_%02d_%02d", F.regexp_extract(s, named, 3), _month(F.regexp_extract(s, named, 1)), number(s, named, 2))
+    makers = {
+        "day_iso": lambda s: F.when(s.try_cast("date").isNotNull(), F.concat(F.lit("DAY_"), F.replace(s, F.lit("-"), F.lit("_")))),
+        "day_named": lambda s: F.when(F.replace(iso(s), F.lit("_"), F.lit("-")).try_cast("date").isNotNull(), F.concat(F.lit("DAY_"), iso(s))),
+        "month_iso": lambda s: F.concat(F.lit("MONTH_"), F.replace(s, F.lit("-"), F.lit("_"))),
+        "month_named": lambda s: F.format_string("MONTH_%s_%02d", F.regexp_extract(s, r"(\d{4})", 1), _month(F.regexp_extract(s, r"([A-Za-z]+)", 1))),
+        "quarter": lambda s: F.format_string("Q%s_%s", F.regexp_extract(s, r"(?i)Q([1-4])", 1), F.regexp_extract(s, r"((?:19|20)\d{2})", 1)),
+        "year": lambda s: F.concat(F.lit("YEAR_"), s),
+    }
+
+    def step(i: int, rest: Column, found: list[Column]) -> Column:
+        kind, pattern = PATTERNS[i]
         hits = F.regexp_extract_all(rest, F.lit(f"({pattern.removeprefix('(?i)')})".replace("(", "(?i)(", 1)), F.lit(1))
-        if kind == "day_iso":
-            found.append(F.transform(hits, lambda s: F.when(s.try_cast("date").isNotNull(), F.concat(F.lit("DAY_"), F.replace(s, F.lit("-"), F.lit("_"))))))
-        elif kind == "day_named":
-            parts = r"(?i)([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
-            iso = lambda s: F.format_string("%s_%02d_%02d", F.regexp_extract(s, parts, 3), _month(F.regexp_extract(s, parts, 1)), number(s, parts, 2))
-            found.append(F.transform(hits, lambda s: F.when(F.replace(iso(s), F.lit("_"), F.lit("-")).try_cast("date").isNotNull(), F.concat(F.lit("DAY_"), iso(s)))))
-        elif kind == "month_iso":
-            found.append(F.transform(hits, lambda s: F.concat(F.lit("MONTH_"), F.replace(s, F.lit("-"), F.lit("_")))))
-        elif kind == "month_named":
-            found.append(F.transform(hits, lambda s: F.format_string("MONTH_%s_%02d", F.regexp_extract(s, r"(\d{4})", 1), _month(F.regexp_extract(s, r"([A-Za-z]+)", 1)))))
-        elif kind == "quarter":
-            found.append(F.transform(hits, lambda s: F.format_string("Q%s_%s", F.regexp_extract(s, r"(?i)Q([1-4])", 1), F.regexp_extract(s, r"((?:19|20)\d{2})", 1))))
-        else:
-            found.append(F.transform(hits, lambda s: F.concat(F.lit("YEAR_"), s)))
-        rest = F.regexp_replace(rest, pattern, "#")
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*found))))
+        found = [*found, F.transform(hits, makers[kind])]
+        if i + 1 == len(PATTERNS):
+            return F.array_sort(F.array_distinct(F.array_compact(F.concat(*found))))
+        return let(F.regexp_replace(rest, pattern, "#"), lambda left: step(i + 1, left, found))
+
+    # most texts name no year, and then no date
+    none = F.array().cast("array<string>")
+    return let(F.coalesce(col(text), F.lit("")), lambda t: F.when(t.rlike(YEAR), step(0, t, [])).otherwise(none))
 
 
 def find_mentions(text: str | None) -> list[str]:
