@@ -196,7 +196,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, languages string")
 
 
-def accept(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+def accept(df: DataFrame, model: Model, text: str = "text", least: float = 1 / 3) -> DataFrame:
     """The rows of ``df`` whose main language is known and holds ``least`` of the text; columns stay."""
     at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)

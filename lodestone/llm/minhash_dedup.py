@@ -48,6 +48,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 _DOCS_AT_ONCE = 256
 BLOCK = 256
+#: Distinct cells that a block's matrix product takes at once.
+COLUMNS = 1 << 12
 _ONE = np.uint64(1)
 
 
@@ -198,9 +200,9 @@ def block_links(ids: np.ndarray, comps: np.ndarray, cells: list[np.ndarray], spl
     at = number[column]
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    for a in range(0, n, 1 << 15):  # bounded memory whatever the texts
-        lo, hi = np.searchsorted(at, [a, a + (1 << 15)])
-        part = np.zeros((len(cells), min(1 << 15, n - a)), np.float32)
+    for a in range(0, n, COLUMNS):  # bounded memory whatever the texts
+        lo, hi = np.searchsorted(at, [a, a + COLUMNS])
+        part = np.zeros((len(cells), min(COLUMNS, n - a)), np.float32)
         part[owner[lo:hi], at[lo:hi] - a] = 1
         shared += part @ part.T
     ok = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6

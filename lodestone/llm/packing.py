@@ -56,6 +56,13 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
+@cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @cache
 def encoder(path: str):
     """A function from text to ids, equal to ``tokenizers`` with ``add_special_tokens=False``.
@@ -64,12 +71,9 @@ def encoder(path: str):
     libraries, from the same vocabulary; other files, and texts with the name of an
     added token, are left to ``tokenizers`` itself.
     """
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
 
     def plainly(text: str) -> np.ndarray:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)

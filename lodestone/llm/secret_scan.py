@@ -20,7 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache, cached_property
+from functools import cached_property
 from itertools import product
 
 import numpy as np
@@ -149,12 +149,7 @@ RULES: tuple[Rule, ...] = (
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-
-
-@cache
-def _numbers() -> np.ndarray:
-    """For each trigram its number among the wanted ones; all -1 between uses."""
-    return np.full(1 << 24, -1, dtype=np.int16)
+_SPREAD = np.uint32(0x9E3779B1)
 
 
 class TrigramIndex:
@@ -162,23 +157,21 @@ class TrigramIndex:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, wanted: list[bytes]) -> None:
         self.n = len(offsets) - 1
-        codes = np.array([t[0] << 16 | t[1] << 8 | t[2] for t in wanted], dtype=np.uint32)
-        number = _numbers()
-        number[codes] = np.arange(len(codes))
-        try:
-            if len(data) < 3:
-                at = np.zeros(0, np.int64)
-                which = np.zeros(0, np.int16)
-            else:
-                low = _LOWER[data]
-                which = number[low[:-2] << 16 | low[1:-1] << 8 | low[2:]]
-                at = np.flatnonzero(which >= 0)
-                which = which[at]
-        finally:
-            number[codes] = -1
+        codes = np.array([t[0] << 16 | t[1] << 8 | t[2] for t in wanted], dtype=np.uint32)  # in order, as wanted is
+        at, which = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(data) >= 3 and len(codes):
+            low = _LOWER[data]
+            code = low[:-2] << 16 | low[1:-1] << 8 | low[2:]
+            # a small table of hashes sorts most positions out
+            table = np.zeros(1 << 16, dtype=bool)
+            table[codes * _SPREAD >> 16] = True
+            at = np.flatnonzero(table[code * _SPREAD >> 16])
+            which = np.searchsorted(codes, code[at])
+            same = codes[np.minimum(which, len(codes) - 1)] == code[at]
+            at, which = at[same], which[same]
         doc = np.searchsorted(offsets, at, side="right") - 1
         fits = at + 3 <= offsets[doc + 1]
-        pairs = np.unique(which[fits].astype(np.int64) * self.n + doc[fits]) if len(at) else np.zeros(0, np.int64)
+        pairs = np.unique(which[fits] * self.n + doc[fits])
         cuts = np.searchsorted(pairs, np.arange(len(wanted) + 1) * self.n)
         self.postings = {t: pairs[cuts[i] : cuts[i + 1]] - i * self.n for i, t in enumerate(wanted)}
 
