@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._spark import clean, scratch_path, settle
+from ._spark import clean, qualified, scratch_path, settle
 
 UNIT = 192
 SHARD_BYTES = 32 << 20
@@ -226,5 +226,5 @@ def with_features(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def store_and_describe(df: DataFrame, text: str = "text", key: str = "doc_id", root: str | None = None) -> DataFrame:
     """Shards under ``root`` (the shared folder by default), metadata, then features of each row."""
-    root = root or scratch_path(df.sparkSession, "shards")
+    root = qualified(df.sparkSession, root or scratch_path(df.sparkSession, "shards"))
     return with_features(with_metadata(write_shards(df, root, text, key)), key)
