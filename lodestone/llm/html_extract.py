@@ -6,13 +6,16 @@ tags and LT link tags below it. Its composite density is
     C/T * log(C*T / (LC*LT)) to base ln(C*LC/(C-LC) + C*LC_body/C_body + e)
 
 (all counts 1 at least), which is low where text is linked. The element whose children's densities have
-the largest sum holds the article. Link lists inside it go if their density is
-below the smallest density on the path from the body to it.
+the largest sum is found. The smallest density on the path from the body to it, there with all of the page's
+text and links, is the threshold. Every other subtree that reaches it is kept too, as its own element of the
+largest sum, in page order; so is text that stands beside elements. An element below the threshold is
+searched further, since a list of links may stand beside its paragraphs; link lists below it go. A page
+without any link has nothing that the threshold could tell apart, and is kept whole.
 
 Before the densities are summed, elements that say that they are no article (nav,
 footer, aside, forms, scripts, and classes or ids that name menus, adverts, notices or comments)
 are taken out, so that a long advert can't outweigh a short article. An article or
-main element around the found one is taken whole, so that short paragraphs stay.
+main element around a found one is taken whole, so that short paragraphs stay.
 
 Defined results: null or empty html, or a page without text: empty string. Unclosed
 or truncated markup is repaired as browsers do; a page of any length is read whole. Nothing is
@@ -57,14 +60,16 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "density", "link_chars", "link_tags", "name", "noise", "parent", "tags", "chars", "attributes")
+    __slots__ = ("attributes", "blocks", "chars", "children", "density", "kept", "link_chars", "link_tags", "name", "noise", "parent", "peak", "tags", "total", "whole")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = "") -> None:
         self.name, self.parent, self.attributes = name, parent, attributes
         self.children: list[Node | str] = []
-        self.noise = False
+        self.noise = self.kept = self.blocks = False
         self.chars = self.link_chars = self.tags = self.link_tags = 0
-        self.density = 0.0
+        self.density = self.total = 0.0
+        self.whole = (0, 0, 0, 0)
+        self.peak = self
 
 
 def parse(page: str) -> Node:
@@ -148,14 +153,13 @@ def _is_noise(node: Node) -> bool:
 
 
 def _order(root: Node) -> list[Node]:
-    """Elements that are not noise, parents first."""
+    """All elements, parents first; what is inside noise is noise."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
-        node.noise = _is_noise(node)
-        if not node.noise:
-            out.append(node)
-            stack.extend(x for x in reversed(node.children) if not isinstance(x, str))
+        node.noise = node.parent is not None and node.parent.noise or _is_noise(node)
+        out.append(node)
+        stack.extend(x for x in reversed(node.children) if not isinstance(x, str))
     return out
 
 
@@ -163,67 +167,165 @@ def _text_length(text: str) -> int:
     return len(text) - text.count(" ") if "&" not in text else len(html.unescape(text).replace(" ", ""))
 
 
+def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite density of ``c`` characters and ``t`` tags, ``lc`` and ``lt`` of them in links."""
+    if not c:
+        return 0.0
+    links, t, lt = max(lc, 1), max(t, 1), max(lt, 1)
+    base = math.log(c / max(c - lc, 1) * links + share * c + math.e)
+    return c / t * math.log(max(c / links * t / lt, 1)) / math.log(base) if base > 1 else c / t
+
+
+def _body_share(nodes: list[Node]) -> float:
+    """Linked share of the body's text, noise and all."""
+    c, _, lc, _ = next((n for n in nodes if n.name == "body"), nodes[0]).whole
+    return lc / max(c, 1)
+
+
 def measure(root: Node) -> list[Node]:
-    """Counts and composite densities of all elements; parents first."""
+    """Counts, densities, their sums and the largest sum below, of elements that are not noise; parents first.
+
+    ``whole`` has the counts with noise: characters, tags, linked characters, link tags.
+    """
     nodes = _order(root)
     for node in reversed(nodes):
-        link = node.name == "a"
         own = sum(_text_length(x) for x in node.children if isinstance(x, str))
+        every = [x for x in node.children if not isinstance(x, str)]
+        c = own + sum(x.whole[0] for x in every)
+        node.whole = (c, len(every) + sum(x.whole[1] for x in every), c if node.name == "a" else sum(x.whole[2] for x in every), sum((x.name == "a") + x.whole[3] for x in every))
+        if node.noise:
+            continue
+        inner = [x for x in every if not x.noise]
+        if len(inner) == len(every) and all(x.chars == x.whole[0] and x.tags == x.whole[1] for x in inner):
+            node.chars, node.tags, node.link_chars, node.link_tags = node.whole
+        else:
+            node.chars = own + sum(x.chars for x in inner)
+            node.tags = len(inner) + sum(x.tags for x in inner)
+            node.link_tags = sum((x.name == "a") + x.link_tags for x in inner)
+            node.link_chars = node.chars if node.name == "a" else sum(x.link_chars for x in inner)
+        node.blocks = node.name in BLOCK and node.name != "br" or any(x.blocks for x in inner)
+    share = _body_share(nodes)
+    nodes = [n for n in nodes if not n.noise]
+    for node in reversed(nodes):
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
         inner = [x for x in node.children if not isinstance(x, str) and not x.noise]
-        node.chars = own + sum(x.chars for x in inner)
-        node.tags = len(inner) + sum(x.tags for x in inner)
-        node.link_tags = sum((x.name == "a") + x.link_tags for x in inner)
-        node.link_chars = node.chars if link else sum(x.link_chars for x in inner)
-    whole = next((n for n in nodes if n.name == "body"), root)
-    share = whole.link_chars / max(whole.chars, 1)
-    for node in nodes:
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        if c:
-            base = math.log(c / max(c - node.link_chars, 1) * lc + share * c + math.e)
-            node.density = c / t * math.log(max(c / lc * t / lt, 1)) / math.log(base) if base > 1 else c / t
+        node.total = sum(x.density for x in inner)
+        below = max((x.peak for x in inner), key=lambda x: x.total, default=node)
+        node.peak = below if below.total > node.total else node
     return nodes
 
 
+def _path(node: Node) -> list[Node]:
+    """The element and those around it, from the inside."""
+    path, up = [], node
+    while up is not None:
+        path.append(up)
+        up = up.parent
+    return path
+
+
+def _holder(path: list[Node]) -> Node | None:
+    """The outermost article or main element of a path."""
+    return next((n for n in reversed(path) if n.name in ("article", "main")), None)
+
+
 def main_node(root: Node) -> tuple[Node, float]:
     """The element with the largest sum of its children's densities, and the body path's least density."""
+    return _found(root)[:2]
+
+
+def _found(root: Node) -> tuple[Node, float, float]:
+    """The main node, the threshold, and the linked share of the body."""
     nodes = measure(root)
-    total = lambda n: sum(x.density for x in n.children if not isinstance(x, str) and not x.noise)
-    best = max(nodes, key=total)
-    if not total(best):
+    share = _body_share(nodes)
+    best = root.peak
+    if not best.total:
         best = next((n for n in nodes if n.name == "body"), root)
-    path, up = [], best
-    while up is not None:
-        path.append(up)
-        up = up.parent
-    holder = next((n for n in reversed(path) if n.name in ("article", "main")), None)
+    path = _path(best)
+    holder = _holder(path)
     if holder is None and best.name not in ("body", "html"):
         # paragraphs beside a found block, with no holder to name them, are its siblings
         while best.parent is not None and best.parent.name not in ("body", "html") and best.name in ("p", "b", "i", "em", "strong", "span", "ul", "ol", "blockquote"):
             best = best.parent
         if best.name in ("p", "b", "i", "em", "strong", "span", "ul", "ol", "blockquote", "h1", "h2"):
             best = best.parent or best
-    inside = [n for n in path if n.name not in ("html",) and n.chars]
-    return holder or best, min((n.density for n in inside), default=0.0)
+    if holder is None and not root.whole[3]:
+        best = root  # no link anywhere: nothing to tell text from
+    return holder or best, min((_density(*n.whole, share) for n in path if n.name != "html" and n.chars), default=0.0), share
+
+
+def _is_link_list(node: Node, threshold: float) -> bool:
+    return node.chars > 0 and node.name in ("ul", "ol", "div", "table", "section") and node.link_chars > 0.8 * node.chars and node.link_tags > 2 and node.density < threshold
+
+
+def _pieces(node: Node) -> list[Node | list[Node | str]]:
+    """Children that are or hold blocks, and runs of text and other elements between them."""
+    out: list[Node | list[Node | str]] = []
+    for x in node.children:
+        if isinstance(x, str) or not x.noise and not x.blocks:
+            if not out or isinstance(out[-1], Node):
+                out.append([])
+            out[-1].append(x)
+        elif not x.noise:
+            out.append(x)
+    return out
+
+
+def _run_density(run: list[Node | str], share: float) -> float:
+    inner = [x for x in run if not isinstance(x, str)]
+    c = sum(_text_length(x) for x in run if isinstance(x, str)) + sum(x.chars for x in inner)
+    return _density(c, len(inner) + sum(x.tags for x in inner), sum(x.link_chars for x in inner), sum((x.name == "a") + x.link_tags for x in inner), share)
+
+
+def contents(root: Node) -> tuple[list[Node | list[Node | str]], float]:
+    """Subtrees and runs of text that reach the threshold, in page order, and the threshold."""
+    best, threshold, share = _found(root)
+    best.kept = True
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.kept or node.noise or _is_link_list(node, threshold):
+            continue
+        if node.density and node.density >= threshold:
+            found = node.peak if node.peak.total else node
+            if not found.kept:
+                (_holder(_path(found)) or found).kept = True
+        if not node.kept:
+            stack.extend(x for x in reversed(_pieces(node)) if isinstance(x, Node))
+    out, stack = [], [root]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, list):
+            if (density := _run_density(item, share)) and density >= threshold:
+                out.append(item)
+        elif item.kept:
+            out.append(item)
+        elif not _is_link_list(item, threshold):
+            stack.extend(reversed(_pieces(item)))
+    return out, threshold
 
 
 def extract(page: str | None) -> str:
     """The article's text; blocks in page order, joined by one space."""
     if not page:
         return ""
-    node, threshold = main_node(parse(page))
+    found, threshold = contents(parse(page))
     parts: list[str] = []
-    stack: list[Node | str] = [node]
-    while stack:
-        item = stack.pop()
-        if isinstance(item, str):
-            parts.append(item)
-        elif item is node or not item.noise:
-            if item is not node and item.chars and item.name in ("ul", "ol", "div", "table", "section") and item.link_chars > 0.8 * item.chars and item.link_tags > 2 and item.density < threshold:
-                continue
-            if item.name in BLOCK:
-                parts.append(" ")
-                stack.append(" ")
-            stack.extend(reversed(item.children))
+    for top in found:
+        stack: list[Node | str] = [top] if isinstance(top, Node) else top[::-1]
+        parts.append(" ")
+        while stack:
+            item = stack.pop()
+            if isinstance(item, str):
+                parts.append(item)
+            elif item is top or not item.noise:
+                if item is not top and _is_link_list(item, threshold):
+                    continue
+                if item.name in BLOCK:
+                    parts.append(" ")
+                    stack.append(" ")
+                stack.extend(reversed(item.children))
+        parts.append(" ")
     return _SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
 

@@ -229,6 +229,38 @@ def test_link_lists_are_less_dense_than_text():
     assert node.link_chars == 0
 
 
+def words_of(page, *words):
+    text = html_extract.extract(page).split()
+    return {w: text.count(w) for w in words}
+
+
+def paragraphs(word, n, times=5):
+    return f"<p>{(word + ' ') * n}</p>" * times
+
+
+LINKS = "<ul>" + "<li><a href=a>menu item</a></li>" * 6 + "</ul>"
+
+
+@pytest.mark.parametrize("top", [NAV, LINKS, ""])
+def test_all_sections_stay(top):
+    page = f"<body>{top}<div id=content><div>{paragraphs('one', 60)}</div><section>{paragraphs('two', 50)}</section><div>{paragraphs('three', 30, 3)}</div></div></body>"
+    assert words_of(page, "one", "two", "three") == {"one": 300, "two": 250, "three": 90}
+    if top:
+        assert words_of(page, "menu", "Home") == {"menu": 0, "Home": 0}
+    text = html_extract.extract(page)
+    assert text.index("one") < text.index("two") < text.index("three")
+
+
+def test_text_beside_tables_and_blocks_stays():
+    rows = "<tr><td>cell</td><td>cell</td></tr>" * 300
+    page = f"<body>{LINKS}<div id=content>{paragraphs('before', 50)}<table>{rows}</table>{paragraphs('after', 30)}</div></body>"
+    assert words_of(page, "before", "cell", "after", "menu") == {"before": 250, "cell": 600, "after": 150, "menu": 0}
+    page = f"<body>{LINKS}<div>{'direct ' * 60}<b>bold</b> tail<div>{paragraphs('one', 60)}</div></div></body>"
+    assert words_of(page, "direct", "bold", "tail", "one", "menu") == {"direct": 60, "bold": 1, "tail": 1, "one": 300, "menu": 0}
+    page = f"<body>{NAV}<article>{paragraphs('one', 60)}</article><article>{paragraphs('two', 50)}<p>Te.</p></article></body>"
+    assert words_of(page, "one", "two", "Te.") == {"one": 300, "two": 250, "Te.": 1}
+
+
 # --- 4 ------------------------------------------------------------------------------------
 
 
