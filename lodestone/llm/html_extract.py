@@ -14,7 +14,10 @@ without any link has nothing that the threshold could tell apart, and is kept wh
 
 Before the densities are summed, elements that say that they are no article (nav,
 footer, aside, forms, scripts, and classes or ids that name menus, adverts, notices or comments)
-are taken out, so that a long advert can't outweigh a short article. An article or
+are taken out, so that a long advert can't outweigh a short article. A form, or an element that only a
+class, an id, a role or a hidden mark names, stays if it holds most of the page's unlinked text or the element
+of the largest sum. Where an article or main element with text stands outside all that is named, such an
+element stays only inside one, if it holds most of its unlinked text. An article or
 main element around a found one is taken whole, so that short paragraphs stay.
 
 Defined results: null or empty html, or a page without text: empty string. Unclosed
@@ -29,6 +32,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +45,7 @@ RAW = frozenset("script style noscript template textarea title iframe noframes x
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NOISE = frozenset("nav footer header aside form script style noscript template textarea title iframe noframes xmp head menu button select input option dialog svg canvas object embed".split())
+NOISE = frozenset("nav footer header aside script style noscript template textarea title iframe noframes xmp head menu button select input option dialog svg canvas object embed".split())
 CLOSES_P = BLOCK - {"br", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "head"}
 #: What a start tag ends, and the elements that the search does not leave.
 CLOSED_BY = {
@@ -50,12 +54,14 @@ CLOSED_BY = {
 }
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar form".split())
 #: Words in a class or id that mark what is no article.
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|popup|promo|promoted|promotion|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget)(?:$|[\s_-])|\b(?:sidebar|comment|cookie|advert)",
-    re.I,
+NOISE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies cookiebanner cookiebar disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay popup promo promoted promotion related replies respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: A class or id with one of these says what an element has or lacks, not what it is.
+NOT_NAMES = frozenset("has have with without no not layout".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -136,18 +142,29 @@ def parse(page: str) -> Node:
     return root
 
 
-def _is_noise(node: Node) -> bool:
-    if node.name in NOISE:
+@lru_cache(maxsize=1 << 14)
+def names_noise(value: str) -> bool:
+    """Whether a class or id has a token that names noise: one of its whole words does, and none says that it is had or lacked."""
+    for token in value.split():
+        words = {w.lower() for w in _WORD.findall(token.partition("--")[0])}
+        if words & NOISE_WORDS and not words & NOT_NAMES:
+            return True
+    return False
+
+
+def _is_named(node: Node) -> bool:
+    """Whether the element's attributes, or its being a form, say that it is no article."""
+    if node.name == "form":
         return True
     if node.attributes and node.name not in ("body", "article", "main"):
         for m in _ATTRIBUTE.finditer(node.attributes):
             key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if key == "role":
-                if value.lower() in NOISE_ROLES:
+                if value.strip().lower() in NOISE_ROLES:
                     return True
-            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
                 return True
-            elif key in ("class", "id") and NOISE_WORDS.search(value):
+            elif key in ("class", "id") and names_noise(value):
                 return True
     return False
 
@@ -157,12 +174,43 @@ def _order(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
         node = stack.pop()
-        node.noise = node.parent is not None and node.parent.noise or _is_noise(node)
+        node.noise = node.parent is not None and node.parent.noise or node.name in NOISE
         out.append(node)
         stack.extend(x for x in reversed(node.children) if not isinstance(x, str))
+    named = [n for n in out if not n.noise and _is_named(n)]
+    if named:
+        _take_out(out, named)
     return out
 
 
+def _take_out(nodes: list[Node], named: list[Node]) -> None:
+    """Marks the named elements as noise, except those that hold what the page is about."""
+    marked, inside = set(map(id, named)), set()
+    for node in nodes:
+        if id(node) in marked or id(node.parent) in inside:
+            inside.add(id(node))
+    free = any(n.name in ("article", "main") and id(n) not in inside and not n.noise and _has_text(n, marked) for n in nodes)
+    within = [(n, _holder(_path(n)) if free else nodes[0]) for n in named]
+    if any(top for _, top in within):
+        _count(nodes)
+        around = set() if free or not nodes[0].peak.total else set(map(id, _path(nodes[0].peak)))
+        marked -= {id(n) for n, top in within if top and n.chars and (2 * (n.chars - n.link_chars) > top.chars - top.link_chars or id(n) in around)}
+    for node in nodes:
+        node.noise = node.noise or id(node) in marked or node.parent is not None and node.parent.noise
+
+
+def _has_text(top: Node, out: set[int]) -> bool:
+    stack: list[Node | str] = [top]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            if not x.isspace():
+                return True
+        elif not x.noise and id(x) not in out:
+            stack.extend(x.children)
+    return False
+
+
 def _text_length(text: str) -> int:
     return len(text) - text.count(" ") if "&" not in text else len(html.unescape(text).replace(" ", ""))
 
@@ -182,12 +230,11 @@ def _body_share(nodes: list[Node]) -> float:
     return lc / max(c, 1)
 
 
-def measure(root: Node) -> list[Node]:
-    """Counts, densities, their sums and the largest sum below, of elements that are not noise; parents first.
+def _count(nodes: list[Node]) -> None:
+    """Counts, densities, their sums and the largest sum below, of elements that are not noise; ``nodes`` has parents first.
 
     ``whole`` has the counts with noise: characters, tags, linked characters, link tags.
     """
-    nodes = _order(root)
     for node in reversed(nodes):
         own = sum(_text_length(x) for x in node.children if isinstance(x, str))
         every = [x for x in node.children if not isinstance(x, str)]
@@ -205,14 +252,21 @@ def measure(root: Node) -> list[Node]:
             node.link_chars = node.chars if node.name == "a" else sum(x.link_chars for x in inner)
         node.blocks = node.name in BLOCK and node.name != "br" or any(x.blocks for x in inner)
     share = _body_share(nodes)
-    nodes = [n for n in nodes if not n.noise]
     for node in reversed(nodes):
+        if node.noise:
+            continue
         node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
         inner = [x for x in node.children if not isinstance(x, str) and not x.noise]
         node.total = sum(x.density for x in inner)
         below = max((x.peak for x in inner), key=lambda x: x.total, default=node)
         node.peak = below if below.total > node.total else node
-    return nodes
+
+
+def measure(root: Node) -> list[Node]:
+    """Elements that are not noise, parents first, with counts and densities."""
+    nodes = _order(root)
+    _count(nodes)
+    return [n for n in nodes if not n.noise]
 
 
 def _path(node: Node) -> list[Node]:

@@ -261,6 +261,35 @@ def test_text_beside_tables_and_blocks_stays():
     assert words_of(page, "one", "two", "Te.") == {"one": 300, "two": 250, "Te.": 1}
 
 
+@pytest.mark.parametrize(
+    "start",
+    ["<div class='layout has-sidebar'>", "<div class='page no-comments'>", "<div class=commentary>", "<div class=advertorial-free id=cookiecutter>", "<div title='The hidden valley'>", "<div data-x=\"a class='ad' role=menu\">", "<div class='sidebar'>", "<form action=x>", "<form><div id=comments>", "<div aria-hidden=true>"],
+)
+def test_wrappers_of_the_text_stay(start):
+    end = "".join(f"</{x}>" for x in re.findall(r"<(\w+)", start)[::-1])
+    side = f"<div class=ad><p>{'buy ' * 20}</p></div>{LINKS}"
+    for a, b in (("", ""), ("<article>", "</article>")):
+        page = f"<body>{NAV}{start}{a}{paragraphs('one', 60)}{b}{end}{side}</body>"
+        assert words_of(page, "one", "buy", "Home") == {"one": 300, "buy": 0, "Home": 0}
+
+
+@pytest.mark.parametrize("name", ["class=commentary", "title='the hidden valley'", "class='row has-sidebar'"])
+def test_parts_that_no_name_marks_stay(name):
+    page = f"<body>{NAV}<article>{paragraphs('one', 60)}<div {name}>{paragraphs('two', 20, 2)}</div></article></body>"
+    assert words_of(page, "one", "two") == {"one": 300, "two": 40}
+
+
+def test_named_part_that_holds_an_article_stays():
+    page = f"<body>{NAV}<article><h1>Title</h1><div class=social>{paragraphs('one', 60)}</div><div class=share>two</div></article><aside>{paragraphs('side', 90)}</aside></body>"
+    assert words_of(page, "Title", "one", "two", "side") == {"Title": 1, "one": 300, "two": 0, "side": 0}
+
+
+@pytest.mark.parametrize("name", ["class=comments", "class='x cookie-notice'", "id=siteSidebar", "class=post_comments", "role=' Search '", "hidden", "class=sidebar1"])
+def test_named_parts_go(name):
+    page = f"<body>{NAV}<div>{paragraphs('one', 60)}</div><div {name}>{paragraphs('two', 50, 2)}</div></body>"
+    assert words_of(page, "one", "two") == {"one": 300, "two": 0}
+
+
 # --- 4 ------------------------------------------------------------------------------------
 
 
