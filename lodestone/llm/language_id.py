@@ -6,8 +6,10 @@ labelled rows. A document is taken as a mixture of languages: expectation-
 maximisation estimates the proportions from the trigram likelihoods. Then
 languages enter the document's set, largest proportion first, as long as the
 log-likelihood, with proportions re-estimated for the set, grows by more than a
-penalty of ``penalty * log(trigrams)``. The prediction is the largest language
-of the set; the score is its proportion in the full mixture.
+penalty of ``penalty * log(trigrams)``. All languages of the model are open to a
+document; it is done when the next one doesn't pay, or when no mixture of all of them
+could (the log-likelihood is concave, so its slope bounds what is left to gain). The
+prediction is the largest language of the set; the score is its proportion in the full mixture.
 
 Defined results: null text, or text without a letter: language ``und``, score 0,
 no set. No labelled row at all: every document is ``und``. Very long texts are
@@ -121,14 +123,22 @@ def _mixture(likelihood: np.ndarray, counts: np.ndarray, firsts: np.ndarray, sta
     return share, np.add.reduceat(counts * np.log(mixed, dtype=np.float64), firsts)
 
 
+def _most(likelihood: np.ndarray, counts: np.ndarray, firsts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Per document, a log-likelihood that no mixture exceeds: that of ``share`` and ``trigrams * log`` of its largest slope."""
+    mixed = np.maximum((likelihood * np.repeat(share, np.diff(np.append(firsts, len(counts))), axis=0)).sum(axis=1), 1e-30)
+    total = np.add.reduceat(counts, firsts).astype(np.float64)
+    slope = np.add.reduceat(likelihood * (counts / mixed)[:, None], firsts, axis=0).max(axis=1) / total
+    return np.add.reduceat(counts * np.log(mixed, dtype=np.float64), firsts) + total * np.log(np.maximum(slope, 1))
+
+
 def _some(firsts: np.ndarray, n: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries of the chosen documents, and where each of these starts."""
     sizes = np.diff(np.append(firsts, n))[docs]
     return np.repeat(firsts[docs], sizes) + _text.ranks(sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def infer(model: Model, column: pa.Array, rounds: int = 12, most: int = 3, penalty: float = 4.0) -> tuple[list[str], np.ndarray, list[str]]:
-    """Language, score and comma-joined language set of each text."""
+def infer(model: Model, column: pa.Array, rounds: int = 12, most: int | None = None, penalty: float = 4.0) -> tuple[list[str], np.ndarray, list[str]]:
+    """Language, score and comma-joined language set (of ``most`` languages, if given) of each text."""
     n, size = len(column), len(model.languages)
     names, scores, sets = [UNKNOWN] * n, np.zeros(n), [""] * n
     if not size or not n:
@@ -152,10 +162,11 @@ def infer(model: Model, column: pa.Array, rounds: int = 12, most: int = 3, penal
         best = chosen.copy()
         _, score = _mixture(likelihood, counts, firsts, chosen, 0)
         charge = penalty * np.log1p(np.add.reduceat(counts, firsts).astype(np.float64))
+        limit = _most(likelihood, counts, firsts, share)
         open_ = np.arange(len(docs))
-        for k in range(1, min(most, size)):
-            # a language with next to no share can't pay for itself
-            open_ = open_[share[open_, order[open_, k]] > 0.01]
+        for k in range(1, size if most is None else min(most, size)):
+            # no mixture can pay for one language more, or it has died out
+            open_ = open_[(limit[open_] > score[open_] + charge[open_]) & (share[open_, order[open_, k]] > 0)]
             if not len(open_):
                 break
             entries, starts = _some(firsts, len(counts), open_)

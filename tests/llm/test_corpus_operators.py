@@ -677,6 +677,24 @@ def test_languages(spark):
     assert odd[7].lang_pred == "cc"
 
 
+def test_every_language_of_a_text_is_found(spark):
+    rng = random.Random(10)
+    alphabets = {c * 2: "".join(chr(ord("a") + 5 * i + k) for k in range(5)) for i, c in enumerate("abcde")} | {"ff": "äöüßé"}
+    make = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    model = language_id.train(spark.createDataFrame([(make(lang, 60), lang) for lang in alphabets for _ in range(40)], "text string, lang string"))
+    texts = {
+        "aa,bb,cc,dd": " ".join(make(x, n) for x, n in (("aa", 130), ("bb", 120), ("cc", 110), ("dd", 100))),
+        "aa,bb,cc,dd,ee,ff": " ".join(make(x, n) for x, n in zip(alphabets, (180, 160, 140, 120, 100, 80), strict=True)),
+        "aa,bb": make("aa", 12_000) + " " + make("bb", 60),
+        "cc": make("cc", 12_000),
+        "dd": make("dd", 9),
+    }
+    _, scores, sets = language_id.infer(model, pa.array(list(texts.values())))
+    assert [",".join(sorted(x.split(","))) for x in sets] == list(texts)
+    assert scores[2] > 0.99
+    assert [x.count(",") + 1 for x in language_id.infer(model, pa.array(list(texts.values())), most=2)[2]] == [2, 2, 2, 1, 1]
+
+
 def test_language_of_odd_tables(spark):
     rows, _ = language_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
