@@ -207,14 +207,14 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, languages string")
 
 
-def accept(df: DataFrame, model: Model, text: str = "text", least: float = 1 / 3) -> DataFrame:
-    """The rows of ``df`` whose main language is known and holds ``least`` of the text; columns stay."""
+def accept(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose main language is known, however many others they hold; columns stay."""
     at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, _ = infer(shared.value, batch.column(at))
-            yield batch.filter(pa.array((np.array(names) != UNKNOWN) & (scores >= least)))
+            names, _, _ = infer(shared.value, batch.column(at))
+            yield batch.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -695,6 +695,17 @@ def test_every_language_of_a_text_is_found(spark):
     assert [x.count(",") + 1 for x in language_id.infer(model, pa.array(list(texts.values())), most=2)[2]] == [2, 2, 2, 1, 1]
 
 
+def test_balanced_texts_of_four_languages_stay(spark):
+    rng = random.Random(11)
+    alphabets = {c * 2: "".join(chr(ord("a") + 5 * i + k) for k in range(5)) for i, c in enumerate("abcd")}
+    make = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    model = language_id.train(spark.createDataFrame([(make(lang, 60), lang) for lang in alphabets for _ in range(40)], "text string, lang string"))
+    rows = [(i, " ".join(make(lang, 100) for lang in alphabets)) for i in range(20)] + [(20, None), (21, "42 !?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(r.score for r in language_id.identify(df, model).collect()) < 1 / 3
+    assert sorted(r.doc_id for r in language_id.accept(df, model).collect()) == list(range(20))
+
+
 def test_language_of_odd_tables(spark):
     rows, _ = language_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
