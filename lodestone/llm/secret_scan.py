@@ -136,11 +136,18 @@ def _either_case(word: str) -> str:
 
 _KEYWORDS = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either_case("api") + "_?" + _either_case("key")
 
+_PEM_BANNER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: What follows the banner: all up to the END line; without one, the headers and lines of base64. Line ends may be escaped.
+_PEM_BODY = (
+    r"(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\r?\n(?:Proc-Type|DEK-Info):[^\r\n]*)*(?:(?:[\x20\t\r\n]|\\[rn])*[A-Za-z0-9+/]{40,}={0,2})*(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/]+={0,2}\r?(?m:$))*)"
+)
+
 RULES: tuple[Rule, ...] = (
     Rule("assign", rf"({_KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", group=2, least=8, base=True),
     Rule("access", r"AKIA[A-Z0-9]+", least=16, base=True),
     Rule("hex", r"[0-9a-f]{32,}", least=32, base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PEM_BANNER + _PEM_BODY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),

@@ -183,6 +183,39 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert {i: r.text for i, r in by_id(out).items()} == {1: "a [secret] b", 2: None, 3: "clean"}
 
 
+LINE = "MIIEowIBAAKCAQEAx/Q+9" * 3
+KEYS = [
+    "-----BEGIN RSA PRIVATE KEY-----\n{0}\n{0}\nAb3=\n-----END RSA PRIVATE KEY-----",
+    "-----BEGIN PRIVATE KEY-----\r\n{0}\r\nQQ==\r\n-----END PRIVATE KEY-----",
+    "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{0}\n-----END RSA PRIVATE KEY-----",
+    "-----BEGIN PRIVATE KEY-----\\n{0}\\n{0}\\nQQ==\\n-----END PRIVATE KEY-----",
+    "-----BEGIN EC PRIVATE KEY----- {0} {0} -----END EC PRIVATE KEY-----",
+    "-----BEGIN PRIVATE KEY-----\n{0}\n{0}\nAb3",
+    "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{0}\nAb3=",
+    "-----BEGIN PRIVATE KEY-----\\n{0}\\n{0}\\nQQ==",
+    "-----BEGIN PRIVATE KEY-----",
+]
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_private_keys_are_masked_whole(spark, key):
+    key = key.format(LINE)
+    rows = [(1, f"see {key}\nand more - text"), (2, f"{key}\n-----BEGIN CERTIFICATE-----\n{key}")]
+    got = by_id(secret_scan.redact(documents(spark, rows)))
+    assert got[1].text == "see [secret]\nand more - text"
+    assert got[2].text == "[secret]\n-----BEGIN CERTIFICATE-----\n[secret]"
+    spans = [x for x in secret_scan.find(secret_scan.RULES, pa.array([rows[0][1]]))[0] if x[2] == "private_key"]
+    assert spans == [(4, 4 + len(key), "private_key")]
+
+
+def test_private_key_sql_is_one_expression():
+    duckdb = pytest.importorskip("duckdb")
+    rule = next(r for r in secret_scan.RULES if r.kind == "private_key")
+    for key in KEYS:
+        text = f"see {key.format(LINE)}\nand more - text"
+        assert duckdb.execute("SELECT regexp_extract_all(?, ?)", [text, rule.pattern]).fetchone()[0] == [m[0] for m in rule.regex.finditer(text)]
+
+
 # --- 3 ------------------------------------------------------------------------------------
 
 ARTICLE = "<article><h1>On &amp; on</h1><p>First   long paragraph of text, with <a href=x>one link</a> in it, and more words after that.<p>Second\nparagraph <b>bold<br>line</b>, also with a good number of words.</p><p>Te.</p></article>"
