@@ -139,21 +139,37 @@ def _key(column: str) -> Column:
     return F.concat(F.when(F.col(column).isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(F.col(column), F.lit("")))
 
 
+def _mixed(df: DataFrame, text: str, source: str, key: str, weights: tuple[float, ...]) -> DataFrame:
+    docs = settle(clean(df, key, source, text).select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(text).alias("size")), "sizes")
+    return copies(docs, source_rates(docs, weights))
+
+
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row per input row: key, size, source_size, target, taken, copies, rate."""
-    docs = settle(clean(df, key, source, text).select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(text).alias("size")), "sizes")
-    found = copies(docs, source_rates(docs, weights))
+    found = _mixed(df, text, source, key, weights)
     return found.select(F.col("doc_id").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def resample(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """``df`` with each row repeated as often as its mix takes it (0 to 3 times); columns stay.
 
-    Rows meet their copies by key, size and source; equal keys share the copies of one of them.
+    Rows meet their copies by key, size and source. Where rows that share these differ in copies, as many of them
+    as in the mix get one more, first by text.
     """
-    mine = [f"__lodestone_{c}" for c in ("key", "size", "copies", "copy")]
-    mixed = mix(df, text, source, key, weights).groupBy(F.col(key).alias(mine[0]), F.col("size").alias(mine[1])).agg(F.max("copies").alias(mine[2]))
-    mixed = settle(mixed, "copies")
-    mixed = broadcast_if_small(mixed, measured_bytes(mixed))
-    joined = df.join(mixed, F.col(f"`{key}`").eqNullSafe(F.col(mine[0])) & (n_words(text) == F.col(mine[1])))
-    return joined.withColumn(mine[3], F.explode(F.array_repeat(F.lit(1), F.col(mine[2]).cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    mine = [f"__lodestone_{c}" for c in ("key", "size", "source", "low", "high", "n_high", "copy")]
+    name, size, origin, low, high, n_high, copy = mine
+    found = _mixed(df, text, source, key, weights).select(F.col("doc_id").alias(name), F.col("size").alias(size), F.col("source").alias(origin), "copies")
+    # copies of one size and source differ by one at most
+    counted = found.groupBy(name, size, origin).agg(F.min("copies").alias(low), F.max("copies").alias(high), (F.sum("copies") - F.count("*") * F.min("copies")).alias(n_high))
+    counted = settle(counted.where(F.col(high) > 0), "copies")
+    counted = broadcast_if_small(counted, measured_bytes(counted))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(name)) & (n_words(text) == F.col(size)) & F.col(f"`{source}`").eqNullSafe(F.col(origin))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    repeat = lambda rows, n: rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*columns)
+    torn = F.col(low) < F.col(high)
+    if counted.where(torn).isEmpty():
+        return repeat(df.join(counted, same), F.col(low))
+    whole = repeat(df.join(counted.where(~torn), same), F.col(low))
+    rank = F.row_number().over(Window.partitionBy(name, size, origin).orderBy(F.col(f"`{text}`"), F.to_json(F.struct(*columns))))
+    shared = df.join(counted.where(torn), same).withColumn(copy, rank)
+    return whole.union(repeat(shared.withColumn(low, F.col(low) + F.when(F.col(copy) <= F.col(n_high), 1).otherwise(0)), F.col(low)))

@@ -629,6 +629,22 @@ def test_resample_repeats_rows_and_keeps_columns(spark):
     assert mixing.resample(df.limit(0)).count() == 0
 
 
+def test_resample_of_null_and_repeated_ids(spark):
+    rows = [(None, f"w{i} x y", s) for s, n in (("a", 300), ("b", 40), ("c", 1000), (None, 30)) for i in range(n)]
+    rows += [(7, "r s", s) for s in ("a", "b", "c", None) for _ in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    words, targets = collections.Counter(), {}
+    for r in mixing.source_rates(df.select("source", mixing.n_words("text").alias("size"))).collect():
+        targets[r.source] = r.target
+    out = mixing.resample(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        words[r.source] += len(r.text.split())
+    for s, want in targets.items():
+        assert abs(words[s] - want) <= 3, s
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.resample(df.repartition(3)).collect()))
+
+
 @pytest.mark.parametrize("text", [None, "", " ", "a", " a\tb\x0b\x0cc\r\nd ", "a b", "a b \u0085"])
 def test_sizes(spark, text):
     assert spark.createDataFrame([(text,)], "t string").select(mixing.n_words("t")).head()[0] == len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
