@@ -58,14 +58,16 @@ def enrich_time(chunks: DataFrame, lowest: str = "day", highest: str = "year") -
     return times, has.union(edge(inside, "time", "time_identifier", "intervalDuring", "time", "parent_identifier", "TIME_ENRICHMENT"))
 
 
-def link_entities(chunks: DataFrame, entities: DataFrame, most_words: int = 4) -> DataFrame:
+def link_entities(chunks: DataFrame, entities: DataFrame, most_words: int | None = None) -> DataFrame:
     """Edges from chunks to the entities of a gazetteer ``(entity_id, name)`` that their texts name.
 
-    Word n-grams of a chunk meet the names and short forms by an equi-join.
+    Word n-grams of a chunk, of the lengths that the gazetteer's names have (``most_words`` at most, if given), meet the
+    names and short forms by an equi-join.
     """
     names = name_dictionary(entities.select("entity_id", normalize_name("name").alias("normalized")))
     words = chunks.select("chunk_id", F.split(normalize_name("text"), " ").alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    lengths = sorted(n for (n,) in names.where("variant is not null").select(F.size(F.split("variant", " "))).distinct().collect() if most_words is None or n <= most_words)  # one row a length
+    grams = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
     met = words.select("chunk_id", F.explode(F.array_distinct(grams)).alias("variant")).join(names, "variant")
     return edge(met, "chunk", "chunk_id", "assertsAbout", "entity", "entity_id", "DOCUMENT_EXTRACTION")
 

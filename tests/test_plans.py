@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from lodestone import cli
-from lodestone.plans import browse, conversation
+from lodestone.plans import browse, conversation, ingest
 from lodestone.sources import web
 
 
@@ -93,3 +93,12 @@ def test_commands(spark, tmp_path, capsys):
         args.run(spark, args)
     out = capsys.readouterr().out
     assert "Acme grew in 2024." in out
+
+
+def test_names_of_many_words_are_linked(spark):
+    long = "International Bank for Reconstruction and Development of Rural Areas"
+    chunks = spark.createDataFrame([("c1", f"In May the {long} lent."), ("c2", "Acme sold it."), ("c3", "")], "chunk_id string, text string")
+    entities = spark.createDataFrame([("e1", long), ("e2", "Acme")], "entity_id string, name string")
+    linked = lambda *a: sorted((r.source_id, r.target_id) for r in ingest.link_entities(chunks, *a).collect())
+    assert linked(entities) == [("c1", "e1"), ("c2", "e2")]
+    assert linked(entities.limit(0)) == []
