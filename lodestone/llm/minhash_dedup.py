@@ -47,19 +47,22 @@ THRESHOLD = 0.8
 #: 32 bands of 4: a pair at 0.8 is missed with probability 5e-8.
 BANDS, ROWS = 32, 4
 _DOCS_AT_ONCE = 256
-BLOCK = 256
+#: Documents of a block, and cells of all its documents (in expectation).
+BLOCK, BLOCK_CELLS = 1024, 1 << 20
+#: Parts that a band's documents are dealt to where they meet the band's size.
+SALTS = 16
 #: Distinct cells that a block's matrix product takes at once.
 COLUMNS = 1 << 12
 _ONE = np.uint64(1)
 
 
-def weighted_cells(data: np.ndarray, offsets: np.ndarray, width: int, weighting: str) -> tuple[np.ndarray, np.ndarray]:
+def weighted_cells(data: np.ndarray, offsets: np.ndarray, width: int, weighting: str, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted unit cells of each document's elements, and each document's first.
 
     ``count`` gives an element as many cells as the document has copies of the shingle, so
     overlap of cells is the weighted Jaccard similarity; ``set`` gives it one.
     """
-    values, firsts = _text.shingles(data, offsets, width)
+    values, firsts = _text.shingles(data, offsets, width, family)
     owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     order = np.lexsort((values, owner))
     values = values[order]
@@ -147,9 +150,12 @@ def sign(df: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            data, offsets = _text.utf8(batch.column(1))
             for a, b, cells, firsts in _cells_of(batch, width, weighting):
                 hashes = band_hashes(signatures(cells, firsts, bands * rows), bands, rows)
-                keys = [_sum(_text.mix64(cells ^ np.uint64(x)), firsts).view(np.int64) for x in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+                # the second half of the digest comes from hashes that share nothing with the first
+                again = weighted_cells(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, weighting, 1)
+                keys = [_sum(_text.mix64(x), f).view(np.int64) for x, f in ((cells, firsts), again)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(hashes.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(firsts).astype(np.int64)), *map(pa.array, keys), lists], names=["doc_id", "size", "k1", "k2", "bands"])
 
@@ -215,7 +221,7 @@ def block_links(ids: np.ndarray, comps: np.ndarray, cells: list[np.ndarray], spl
 
 
 def _between(members: DataFrame, comps: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Links between components among the documents of each band."""
+    """Links between components among the documents of each band, as pairs of components."""
     placed = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("band")
     placed = settle(placed.join(mixed, "band"), "mixed")
@@ -224,9 +230,13 @@ def _between(members: DataFrame, comps: DataFrame, cells: DataFrame, threshold:
     numbers = _numbers(docs)
     several = numbers.groupBy("cell").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("cell")
     able = numbers.join(several, "cell").groupBy("doc_id", "size").count().where(F.col("count") >= F.col("size") * threshold).select(F.col("doc_id").alias("rep"))
-    placed = placed.join(settle(able, "able"), "rep")
-    sizes = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    able = settle(able.join(cells.select(F.col("doc_id").alias("rep"), "size"), "rep"), "able")
+    placed = placed.join(able, "rep")
+    sizes = placed.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("cells"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("cells") / BLOCK_CELLS), F.col("n"))).cast("int")
+    sizes = sizes.select("band", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = placed.withColumn("salt", F.pmod(F.shiftright(F.xxhash64("rep"), 40), F.lit(SALTS)).cast("int")).join(sizes, ["band", "salt"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     # a block meets itself and every later block
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") > F.col("other")).alias("late"), (F.col("block") == F.col("other")).alias("same"), "rep", "component")
@@ -238,10 +248,11 @@ def _between(members: DataFrame, comps: DataFrame, cells: DataFrame, threshold:
         late = int((~table.column("late").to_numpy()).sum())
         packed = [np.frombuffer(x, np.uint64) for x in table.column("cells").to_pylist()]
         split = 0 if table.column("same")[0].as_py() else late
-        u, v = block_links(table.column("rep").to_numpy(), table.column("component").to_numpy(), packed, split, threshold) if len(packed) > 1 else (np.zeros(0, np.int64),) * 2
-        return pa.table({"u": v, "v": u})
+        comps = table.column("component").to_numpy()
+        u, v = block_links(np.arange(len(packed)), comps, packed, split, threshold) if len(packed) > 1 else (np.zeros(0, np.int64),) * 2
+        return pa.table({"u": comps[v], "v": comps[u]})
 
-    return full.groupBy("task").applyInArrow(run, "u long, v long")
+    return full.groupBy("task").applyInArrow(run, "u long, v long").where("u <> v")
 
 
 def _numbers(docs: DataFrame) -> DataFrame:
@@ -274,8 +285,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     stars = votes.select(F.col("a").alias("u"), F.col("rep").alias("v")).union(votes.where("a <> b").select("b", "rep"))
     links = settle(_verified(stars, cells, threshold), "links")
     comps = settle(components(links), "components")
-    links = links.union(settle(_between(members, comps, cells, threshold), "between"))
-    comps = settle(components(links), "components")
+    between = settle(_between(members, comps, cells, threshold), "between")
+    if not between.isEmpty():  # components of components
+        top = components(between).select(F.col("node").alias("component"), F.col("component").alias("_top"))
+        # a document that no star links is a component without a row
+        nodes = comps.select("node", "component").union(between.select("u").union(between.select("v")).distinct().join(comps.select(F.col("node").alias("u")), "u", "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component")))
+        comps = settle(nodes.join(top, "component", "left").select("node", F.coalesce("_top", "component").alias("component")), "classes")
     copies = signed.where("size > 0").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
     classes = copies.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"))
     alone = signed.where("size = 0").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"))

@@ -45,7 +45,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     at, doc = _text.window_starts(firsts, 2)
     pairs = _text.window_hashes(values, at, 2)
     shift = np.uint64(64 - 16)
-    return np.concatenate([values >> shift, pairs >> shift]).astype(np.int64), np.concatenate([owner, doc])
+    return np.concatenate([_text.mix64(values) >> shift, pairs >> shift]).astype(np.int64), np.concatenate([owner, doc])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

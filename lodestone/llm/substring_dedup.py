@@ -14,19 +14,22 @@ the smallest document that has it:
 3. The windows of a document, regrouped by parts of all documents, are merged into
    maximal removal intervals, and these are joined with its text.
 
-Two windows count as equal when 56 bits of their hash and their bucket, of 3 bits
-or more of an independent hash, agree; so the number of compared bits grows with the
-number of buckets, that is, with the input. Windows are judged on the input, not on what is left.
+Two windows count as equal when 78 bits of two hashes that share no base and their bucket, of 3 bits
+or more of the second, agree; so the number of compared bits grows with the
+number of buckets, that is, with the input: 103 at 100 TB, where some 1e13 windows meet, for an expected
+1e-5 pairs taken for equal that aren't. The hashes are polynomials modulo a prime, with bases
+that the driver draws for each call, so no text can be made to collide. Windows are judged on the input, not on what is left.
 
 Defined results: null text has no words; a document of fewer words than a
 window keeps all; repeated rows of one id are one document for the comparison
 and each get their result; a null id is smaller than any other and each such row is
-removed from nothing; an empty table gives no rows; other columns are ignored.
+removed from nothing; ids are whole numbers (others raise an error); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import clean, plan_bytes, settle
+from ._spark import clean, plan_bytes, settle, shuffle_partitions
 
 WINDOW = 50
 #: Compressed input bytes for which one bucket of window hashes is made.
@@ -47,8 +50,10 @@ FLUSH_WINDOWS = 1 << 20
 _PACKED = "bucket int, hashes binary, docs binary, counts binary, starts binary"
 _GONE = "part int, docs binary, counts binary, starts binary"
 _SPANS = "doc_id long, spans binary"
-#: Bytes of a window's hash that travel; its bucket adds bits.
-HASH_BYTES = 7
+#: Bytes of a window's two hashes that travel; its bucket adds bits.
+HASH_BYTES, SECOND_BYTES = 10, 2
+#: Most partitions that the buckets are dealt to.
+MOST_PARTITIONS = 1 << 15
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -76,19 +81,32 @@ def bucket_count(df: DataFrame) -> int:
     return 1 << max(3, (size // BUCKET_BYTES).bit_length())
 
 
-def _scan(width: int, buckets: int):
+def _in_groups(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which windows with equal hashes stand together, smallest document first, and where each group starts."""
+    order = np.lexsort((doc, first))
+    a, b = first[order], second[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # the first hash alone doesn't part them
+        order = np.lexsort((doc, second, first))
+        a, b = first[order], second[order]
+        same = a[1:] == a[:-1]
+    return order, np.flatnonzero(np.concatenate([[True], ~(same & (b[1:] == b[:-1]))]))
+
+
+def _scan(width: int, buckets: int, key: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def deal(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        hashes, bucket, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, hashes))
-        h, d = hashes[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least = np.repeat(d[first], np.diff(np.append(first, len(h))))
+        hashes, second, bucket, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, first = _in_groups(hashes, second, doc)
+        d = doc[order]
+        least = np.repeat(d[first], np.diff(np.append(first, len(d))))
         here = d > least  # a smaller document of this batch has the window
         bucket[order[here]] = buckets + _deal(d[here], buckets)
         order = np.lexsort((start, doc, bucket))
-        bucket, hashes, doc, start = bucket[order], hashes[order], doc[order], start[order]
+        bucket, doc, start = bucket[order], doc[order], start[order]
+        wide = np.empty((len(order), HASH_BYTES), np.uint8)
+        wide[:, :8], wide[:, 8:] = hashes[order].view(np.uint8).reshape(-1, 8), second[order].view(np.uint8).reshape(-1, SECOND_BYTES)
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         rows: list[list] = [[], [], [], [], []]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -98,7 +116,7 @@ def _scan(width: int, buckets: int):
                 rows,
                 (
                     int(bucket[a]) % buckets,
-                    None if known else hashes[a:b].view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes(),
+                    None if known else wide[a:b].tobytes(),
                     squeeze(np.diff(doc[a:b][heads], prepend=0)),
                     squeeze(np.diff(np.append(heads, b - a))),
                     squeeze(np.diff(start[a:b], prepend=0)),
@@ -120,10 +138,8 @@ def _scan(width: int, buckets: int):
                 at, owner = _text.window_starts(firsts, width)
                 if not len(at):
                     continue
-                values = _text.span_hashes(part, starts, ends)
-                hashes = _text.window_hashes(values, at, width)
-                bucket = (_text.window_hashes(values, at, width, 1) >> shift).astype(np.int32)
-                parts.append((hashes, bucket, ids[a:b][owner], (at - firsts[owner]).astype(np.int32)))
+                hashes, second = (_text.window_hashes(_text.span_hashes(part, starts, ends, f, key), at, width, f, key) for f in (0, 1))
+                parts.append((hashes, second.astype(np.uint16), (second >> shift).astype(np.int32), ids[a:b][owner], (at - firsts[owner]).astype(np.int32)))
                 held += len(at)
                 if held >= FLUSH_WINDOWS:
                     yield from deal(parts)
@@ -139,10 +155,10 @@ def _deal(ids: np.ndarray, n: int) -> np.ndarray:
     return (_text.mix64(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def _whole(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // HASH_BYTES, 8), np.uint8)
-    out[:, 8 - HASH_BYTES :] = np.frombuffer(packed, np.uint8).reshape(-1, HASH_BYTES)
-    return out.view(np.uint64)[:, 0]
+def _both(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of all windows of these rows."""
+    wide = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, HASH_BYTES)
+    return np.ascontiguousarray(wide[:, :8]).view(np.uint64)[:, 0], np.ascontiguousarray(wide[:, 8:]).view(np.uint16)[:, 0]
 
 
 def _unpacked(table: pa.Table) -> Iterator[tuple[bytes | None, np.ndarray, np.ndarray]]:
@@ -161,17 +177,15 @@ def _decide(buckets: int):
                 gone_doc.append(doc)
                 gone_start.append(start)
             else:
-                hashes.append(_whole(h))
+                hashes.append(h)
                 docs.append(doc)
                 starts.append(start.astype(np.int32))
         if hashes:
-            h, doc, start = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
+            doc, start = np.concatenate(docs), np.concatenate(starts)
+            order, cuts = _in_groups(*_both(hashes), doc)
             del hashes, docs, starts
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            least = np.minimum.reduceat(doc[order], cuts)
-            gone = order[doc[order] > np.repeat(least, np.diff(np.append(cuts, len(h))))]
+            d = doc[order]
+            gone = order[d > np.repeat(d[cuts], np.diff(np.append(cuts, len(d))))]
             gone_doc.append(doc[gone])
             gone_start.append(start[gone])
         doc, start = np.concatenate(gone_doc), np.concatenate(gone_start)
@@ -208,8 +222,11 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", width: int
     """``(doc_id, spans)``: the packed maximal removal intervals of every document that has any."""
     kept = clean(df, key, text).where(F.col(f"`{key}`").isNotNull())
     buckets = bucket_count(kept)
-    packed = kept.mapInArrow(_scan(width, buckets), _PACKED)
-    return packed.groupBy("bucket").applyInArrow(_decide(buckets), _GONE).groupBy("part").applyInArrow(_merge(width), _SPANS)
+    packed = kept.mapInArrow(_scan(width, buckets, secrets.randbits(63)), _PACKED)
+    # partitions follow the buckets, so that no task's share grows with the input
+    n = max(shuffle_partitions(df.sparkSession), min(buckets, MOST_PARTITIONS))
+    gone = packed.repartition(n, "bucket").groupBy("bucket").applyInArrow(_decide(buckets), _GONE)
+    return gone.repartition(n, "part").groupBy("part").applyInArrow(_merge(width), _SPANS)
 
 
 def covered(starts: np.ndarray, width: int) -> np.ndarray:
