@@ -5,24 +5,26 @@ tags and LT link tags below it. Its composite density is
 
     C/T * log(C*T / (LC*LT)) to base ln(C*LC/(C-LC) + C*LC_body/C_body + e)
 
-(all counts 1 at least), which is low where text is linked. The element whose children's densities have
-the largest sum is found. The smallest density on the path from the body to it, there with all of the page's
-text and links, is the threshold. Every other subtree that reaches it is kept too, as its own element of the
-largest sum, in page order; so is text that stands beside elements. An element below the threshold is
-searched further, since a list of links may stand beside its paragraphs; link lists below it go. A page
-without any link has nothing that the threshold could tell apart, and is kept whole.
-
-Before the densities are summed, elements that say that they are no article (nav,
-footer, aside, forms, scripts, and classes or ids that name menus, adverts, notices or comments)
-are taken out, so that a long advert can't outweigh a short article. A form, or an element that only a
-class, an id, a role or a hidden mark names, stays if it holds most of the page's unlinked text or the element
+(all counts 1 at least), which is low where text is linked. Text of elements that say that they are no
+article (nav, footer, aside, forms, scripts, and classes or ids that name menus, adverts, notices or
+comments) counts as linked, so that it is as dense as a menu and a long advert can't outweigh a short article.
+
+The element whose blocks' densities have the largest sum is found; markup inside a paragraph or heading is
+no block. The smallest density on the path from the body to it is the threshold. Every other subtree that reaches it is
+kept too, as its own element of the largest sum, in page order; so is text that stands beside elements. An
+element below the threshold is searched further, since a list of links may stand beside its paragraphs; link
+lists below it go, and what counts as linked by its name goes where its own density is below. A page without any
+link has nothing that the threshold could tell apart, and is kept whole. An article or main element
+around a found one is taken whole if it is denser than the page, so that its short paragraphs stay.
+
+A form, or an element that only a
+class, an id, a role or a hidden mark names, is no noise if it holds most of the page's unlinked text or the element
 of the largest sum. Where an article or main element with text stands outside all that is named, such an
-element stays only inside one, if it holds most of its unlinked text. An article or
-main element around a found one is taken whole, so that short paragraphs stay.
+element is none only inside one, if it holds most of its unlinked text.
 
 Defined results: null or empty html, or a page without text: empty string. Unclosed
 or truncated markup is repaired as browsers do; a page of any length is read whole. Nothing is
-capped. Repeated rows get equal results; an empty table gives no rows; other
+capped. Rows with a null id or url keep it. Repeated rows get equal results; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -31,7 +33,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -66,7 +70,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attributes", "blocks", "chars", "children", "density", "kept", "link_chars", "link_tags", "name", "noise", "parent", "peak", "tags", "total", "whole")
+    __slots__ = ("attributes", "blocks", "chars", "children", "density", "holder", "kept", "link_chars", "link_tags", "name", "noise", "parent", "peak", "tags", "total")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = "") -> None:
         self.name, self.parent, self.attributes = name, parent, attributes
@@ -74,15 +78,49 @@ class Node:
         self.noise = self.kept = self.blocks = False
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
-        self.whole = (0, 0, 0, 0)
+        self.holder: Node | None = None
         self.peak = self
 
 
+class _Open:
+    """The open elements, and where those of each name stand among them; every element is pushed and popped once."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.name].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+    def close(self, place: int) -> None:
+        """Closes the element there and all in it."""
+        for node in self.nodes[place:]:
+            self.places[node.name].pop()
+        del self.nodes[place:]
+
+    def start(self, name: str) -> None:
+        """Closes what a start tag of this name ends."""
+        closes, inside = CLOSED_BY.get(name, ((), ()))
+        if closes:
+            bound = self.last(inside)
+            found = [x[i] for x in (self.places[n] for n in closes) if (i := bisect_right(x, bound)) < len(x)]
+            if found:
+                self.close(min(found))
+        if name in CLOSES_P and (place := self.last(("p",))) > self.last(("td", "th", "button", "object", "table")):
+            self.close(place)
+
+
 def parse(page: str) -> Node:
-    """The page's tree; text stays undecoded strings among the children."""
-    root = node = Node("html", None)
+    """The page's tree, in time that grows with its length; text stays undecoded strings among the children."""
+    root = Node("html", None)
+    up = _Open(root)
     at, stop = 0, len(page)
     while at < stop:
+        node = up.nodes[-1]
         cut = page.find("<", at)
         if cut < 0:
             node.children.append(page[at:])
@@ -105,43 +143,29 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if closing:
-            up = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if place := up.last((name,)):
+                up.close(place)
             elif name == "p":
                 node.children.append(Node("p", node))
             continue
         if name == "html":
             continue
-        closes, inside = CLOSED_BY.get(name, (None, None))
-        if closes:
-            up, last = node, None
-            while up is not None and up.name not in inside:
-                if up.name in closes:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        if name in CLOSES_P:
-            up = node
-            while up is not None and up.name not in ("p", "td", "th", "button", "object", "table"):
-                up = up.parent
-            if up is not None and up.name == "p":
-                node = up.parent
-        child = Node(name, node, attributes)
-        node.children.append(child)
+        up.start(name)
+        child = Node(name, up.nodes[-1], attributes)
+        child.parent.children.append(child)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+            end = _raw_end(name).search(page, at)
             at = end.end() if end else stop
-        elif name not in VOID and not attributes.endswith("/"):
-            node = child
-        elif name not in VOID and attributes.endswith("/"):
-            node = child
+        elif name not in VOID:
+            up.push(child)
     return root
 
 
+@lru_cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I)
+
+
 @lru_cache(maxsize=1 << 14)
 def names_noise(value: str) -> bool:
     """Whether a class or id has a token that names noise: one of its whole words does, and none says that it is had or lacked."""
@@ -174,7 +198,9 @@ def _order(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
         node = stack.pop()
-        node.noise = node.parent is not None and node.parent.noise or node.name in NOISE
+        up = node.parent
+        node.noise = up is not None and up.noise or node.name in NOISE
+        node.holder = up is not None and up.holder or (node if node.name in ("article", "main") else None)
         out.append(node)
         stack.extend(x for x in reversed(node.children) if not isinstance(x, str))
     named = [n for n in out if not n.noise and _is_named(n)]
@@ -185,32 +211,23 @@ def _order(root: Node) -> list[Node]:
 
 def _take_out(nodes: list[Node], named: list[Node]) -> None:
     """Marks the named elements as noise, except those that hold what the page is about."""
-    marked, inside = set(map(id, named)), set()
+    root, marked, inside, plain = nodes[0], set(map(id, named)), set(), set()
     for node in nodes:
         if id(node) in marked or id(node.parent) in inside:
             inside.add(id(node))
-    free = any(n.name in ("article", "main") and id(n) not in inside and not n.noise and _has_text(n, marked) for n in nodes)
-    within = [(n, _holder(_path(n)) if free else nodes[0]) for n in named]
-    if any(top for _, top in within):
+    for node in reversed(nodes):  # elements with text outside all noise
+        if not node.noise and id(node) not in marked and any(not x.isspace() if isinstance(x, str) else id(x) in plain for x in node.children):
+            plain.add(id(node))
+    free = any(n.name in ("article", "main") and id(n) not in inside and id(n) in plain for n in nodes)
+    within = [(n, top) for n in named if (top := n.holder if free else root)]
+    if within:
         _count(nodes)
-        around = set() if free or not nodes[0].peak.total else set(map(id, _path(nodes[0].peak)))
-        marked -= {id(n) for n, top in within if top and n.chars and (2 * (n.chars - n.link_chars) > top.chars - top.link_chars or id(n) in around)}
+        around = set() if free or not root.peak.total else set(map(id, _path(root.peak)))
+        marked -= {id(n) for n, top in within if n.chars and (2 * (n.chars - n.link_chars) > top.chars - top.link_chars or id(n) in around)}
     for node in nodes:
         node.noise = node.noise or id(node) in marked or node.parent is not None and node.parent.noise
 
 
-def _has_text(top: Node, out: set[int]) -> bool:
-    stack: list[Node | str] = [top]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            if not x.isspace():
-                return True
-        elif not x.noise and id(x) not in out:
-            stack.extend(x.children)
-    return False
-
-
 def _text_length(text: str) -> int:
     return len(text) - text.count(" ") if "&" not in text else len(html.unescape(text).replace(" ", ""))
 
@@ -224,49 +241,43 @@ def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
     return c / t * math.log(max(c / links * t / lt, 1)) / math.log(base) if base > 1 else c / t
 
 
+def _body_of(nodes: list[Node]) -> Node:
+    return next((n for n in nodes if n.name == "body"), nodes[0])
+
+
 def _body_share(nodes: list[Node]) -> float:
-    """Linked share of the body's text, noise and all."""
-    c, _, lc, _ = next((n for n in nodes if n.name == "body"), nodes[0]).whole
-    return lc / max(c, 1)
+    """Linked share of the body's text."""
+    body = _body_of(nodes)
+    return body.link_chars / max(body.chars, 1)
 
 
 def _count(nodes: list[Node]) -> None:
-    """Counts, densities, their sums and the largest sum below, of elements that are not noise; ``nodes`` has parents first.
+    """Counts, densities, their sums over blocks and the largest sum below; ``nodes`` has parents first.
 
-    ``whole`` has the counts with noise: characters, tags, linked characters, link tags.
+    Noise counts as links do: all of its text is linked, all of its tags are link tags.
     """
     for node in reversed(nodes):
-        own = sum(_text_length(x) for x in node.children if isinstance(x, str))
-        every = [x for x in node.children if not isinstance(x, str)]
-        c = own + sum(x.whole[0] for x in every)
-        node.whole = (c, len(every) + sum(x.whole[1] for x in every), c if node.name == "a" else sum(x.whole[2] for x in every), sum((x.name == "a") + x.whole[3] for x in every))
-        if node.noise:
-            continue
-        inner = [x for x in every if not x.noise]
-        if len(inner) == len(every) and all(x.chars == x.whole[0] and x.tags == x.whole[1] for x in inner):
-            node.chars, node.tags, node.link_chars, node.link_tags = node.whole
-        else:
-            node.chars = own + sum(x.chars for x in inner)
-            node.tags = len(inner) + sum(x.tags for x in inner)
-            node.link_tags = sum((x.name == "a") + x.link_tags for x in inner)
-            node.link_chars = node.chars if node.name == "a" else sum(x.link_chars for x in inner)
+        inner = [x for x in node.children if not isinstance(x, str)]
+        node.chars = sum(_text_length(x) for x in node.children if isinstance(x, str)) + sum(x.chars for x in inner)
+        node.tags = len(inner) + sum(x.tags for x in inner)
+        linked = node.noise or node.name == "a"
+        node.link_chars = node.chars if linked else sum(x.link_chars for x in inner)
+        node.link_tags = node.tags if node.noise else sum((x.name == "a" or x.noise) + x.link_tags for x in inner)
         node.blocks = node.name in BLOCK and node.name != "br" or any(x.blocks for x in inner)
     share = _body_share(nodes)
     for node in reversed(nodes):
-        if node.noise:
-            continue
         node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
-        inner = [x for x in node.children if not isinstance(x, str) and not x.noise]
+        inner = [x for x in node.children if not isinstance(x, str) and x.blocks]
         node.total = sum(x.density for x in inner)
         below = max((x.peak for x in inner), key=lambda x: x.total, default=node)
         node.peak = below if below.total > node.total else node
 
 
 def measure(root: Node) -> list[Node]:
-    """Elements that are not noise, parents first, with counts and densities."""
+    """All elements, parents first, with counts and densities."""
     nodes = _order(root)
     _count(nodes)
-    return [n for n in nodes if not n.noise]
+    return nodes
 
 
 def _path(node: Node) -> list[Node]:
@@ -278,34 +289,24 @@ def _path(node: Node) -> list[Node]:
     return path
 
 
-def _holder(path: list[Node]) -> Node | None:
-    """The outermost article or main element of a path."""
-    return next((n for n in reversed(path) if n.name in ("article", "main")), None)
-
-
 def main_node(root: Node) -> tuple[Node, float]:
-    """The element with the largest sum of its children's densities, and the body path's least density."""
+    """The element with the largest sum of its blocks' densities, and the body path's least density."""
     return _found(root)[:2]
 
 
-def _found(root: Node) -> tuple[Node, float, float]:
-    """The main node, the threshold, and the linked share of the body."""
+def _whole(node: Node, page: float) -> Node:
+    """The article or main element around an element, if it is denser than the page; else the element."""
+    return node.holder if node.holder is not None and not node.holder.noise and node.holder.density >= page else node
+
+
+def _found(root: Node) -> tuple[Node, float, float, float]:
+    """The main node, the threshold, the density of the body, and its linked share."""
     nodes = measure(root)
-    share = _body_share(nodes)
-    best = root.peak
-    if not best.total:
-        best = next((n for n in nodes if n.name == "body"), root)
-    path = _path(best)
-    holder = _holder(path)
-    if holder is None and best.name not in ("body", "html"):
-        # paragraphs beside a found block, with no holder to name them, are its siblings
-        while best.parent is not None and best.parent.name not in ("body", "html") and best.name in ("p", "b", "i", "em", "strong", "span", "ul", "ol", "blockquote"):
-            best = best.parent
-        if best.name in ("p", "b", "i", "em", "strong", "span", "ul", "ol", "blockquote", "h1", "h2"):
-            best = best.parent or best
-    if holder is None and not root.whole[3]:
+    body, share = _body_of(nodes), _body_share(nodes)
+    best = root.peak if root.peak.total else body
+    if not any(n.name == "a" for n in nodes):
         best = root  # no link anywhere: nothing to tell text from
-    return holder or best, min((_density(*n.whole, share) for n in path if n.name != "html" and n.chars), default=0.0), share
+    return _whole(best, body.density), min((n.density for n in _path(best) if n.name != "html" and n.chars), default=0.0), body.density, share
 
 
 def _is_link_list(node: Node, threshold: float) -> bool:
@@ -316,46 +317,48 @@ def _pieces(node: Node) -> list[Node | list[Node | str]]:
     """Children that are or hold blocks, and runs of text and other elements between them."""
     out: list[Node | list[Node | str]] = []
     for x in node.children:
-        if isinstance(x, str) or not x.noise and not x.blocks:
+        if isinstance(x, str) or not x.blocks:
             if not out or isinstance(out[-1], Node):
                 out.append([])
             out[-1].append(x)
-        elif not x.noise:
+        else:
             out.append(x)
     return out
 
 
-def _run_density(run: list[Node | str], share: float) -> float:
+def _run_density(run: list[Node | str], noise: bool, share: float) -> float:
     inner = [x for x in run if not isinstance(x, str)]
+    t = len(inner) + sum(x.tags for x in inner)
     c = sum(_text_length(x) for x in run if isinstance(x, str)) + sum(x.chars for x in inner)
-    return _density(c, len(inner) + sum(x.tags for x in inner), sum(x.link_chars for x in inner), sum((x.name == "a") + x.link_tags for x in inner), share)
+    lc, lt = (c, t) if noise else (sum(x.link_chars for x in inner), sum((x.name == "a" or x.noise) + x.link_tags for x in inner))
+    return _density(c, t, lc, lt, share)
 
 
 def contents(root: Node) -> tuple[list[Node | list[Node | str]], float]:
     """Subtrees and runs of text that reach the threshold, in page order, and the threshold."""
-    best, threshold, share = _found(root)
+    best, threshold, page, share = _found(root)
     best.kept = True
     stack = [root]
     while stack:
         node = stack.pop()
-        if node.kept or node.noise or _is_link_list(node, threshold):
+        if node.kept or _is_link_list(node, threshold):
             continue
         if node.density and node.density >= threshold:
             found = node.peak if node.peak.total else node
             if not found.kept:
-                (_holder(_path(found)) or found).kept = True
+                _whole(found, page).kept = True
         if not node.kept:
             stack.extend(x for x in reversed(_pieces(node)) if isinstance(x, Node))
-    out, stack = [], [root]
+    out, stack = [], [(root, False)]
     while stack:
-        item = stack.pop()
+        item, noise = stack.pop()
         if isinstance(item, list):
-            if (density := _run_density(item, share)) and density >= threshold:
+            if (density := _run_density(item, noise, share)) and density >= threshold:
                 out.append(item)
         elif item.kept:
             out.append(item)
         elif not _is_link_list(item, threshold):
-            stack.extend(reversed(_pieces(item)))
+            stack.extend((x, item.noise) for x in reversed(_pieces(item)))
     return out, threshold
 
 
@@ -371,7 +374,7 @@ def extract(page: str | None) -> str:
         while stack:
             item = stack.pop()
             if isinstance(item, str):
-                parts.append(item)
+                parts.append(html.unescape(item))  # one by one: no reference reaches across a tag
             elif item is top or not item.noise:
                 if item is not top and _is_link_list(item, threshold):
                     continue
@@ -380,7 +383,7 @@ def extract(page: str | None) -> str:
                     stack.append(" ")
                 stack.extend(reversed(item.children))
         parts.append(" ")
-    return _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+    return _SPACE.sub(" ", "".join(parts)).strip()
 
 
 def extract_pages(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -102,7 +102,7 @@ r AS (SELECT doc_id, list_sort({' || '.join(x for _, x in listed)}) AS spans FRO
 SELECT doc_id, {counts}, sha256({text_of(kept)}) AS base_sha256, {text_of('spans')} AS spans FROM r"""
 
 
-#: For pages that hold their text in an article element, which the operator takes whole around the element that densities find.
+#: For pages that hold their text in an article element: densities must find it whole and nothing beside it.
 _ARTICLE_SQL = """
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1) AS x FROM pages),
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '(?s)<[^>]*(?:>|$)', ' ', 'g') AS x FROM a),
