@@ -12,7 +12,7 @@ could (the log-likelihood is concave, so its slope bounds what is left to gain).
 prediction is the largest language of the set; the score is its proportion in the full mixture.
 
 Defined results: null text, or text without a letter: language ``und``, score 0,
-no set. No labelled row at all: every document is ``und``. Very long texts are
+no set. Of equal proportions the language that sorts first counts as larger. Rows with a null id are predicted as others. No labelled row at all: every document is ``und``. Very long texts are
 used whole. Repeated rows get equal results. Extra columns are ignored. An empty
 table gives no rows.
 """
@@ -37,6 +37,8 @@ BUCKETS = 1 << 16
 TRAIN_ROWS = 1_000_000
 #: Languages that a model may hold; more are an error.
 MOST_LANGUAGES = 512
+#: A document's proportions are settled when a round of EM moves none of them by this; rounds at most.
+TOLERANCE, MOST_ROUNDS = 1e-3, 200
 _SLICES = 16
 
 _LETTER = np.full(256, 0x20, dtype=np.uint8)
@@ -111,14 +113,24 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", bound: int =
 
 
 def _mixture(likelihood: np.ndarray, counts: np.ndarray, firsts: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM over many documents at once: proportions and log-likelihoods. Languages that start at 0 stay there."""
+    """EM over many documents at once: proportions and log-likelihoods. Languages that start at 0 stay there.
+
+    A document is done when a round moves none of its proportions by ``TOLERANCE``, or after ``rounds``.
+    """
     share = start
     sizes = np.diff(np.append(firsts, len(counts)))
     total = np.add.reduceat(counts, firsts)[:, None]
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         each = likelihood * np.repeat(share, sizes, axis=0)
         each *= (counts / np.maximum(each.sum(axis=1), 1e-30))[:, None]
-        share = np.add.reduceat(each, firsts, axis=0) / total
+        now = np.add.reduceat(each, firsts, axis=0) / total
+        moving = np.flatnonzero(np.abs(now - share).max(axis=1) >= TOLERANCE)
+        share = now
+        if 2 * len(moving) <= len(firsts):  # the others are done
+            if len(moving):
+                entries, starts = _some(firsts, len(counts), moving)
+                share[moving] = _mixture(likelihood[entries], counts[entries], starts, share[moving], rounds - done)[0]
+            break
     mixed = np.maximum((likelihood * np.repeat(share, sizes, axis=0)).sum(axis=1), 1e-30)
     return share, np.add.reduceat(counts * np.log(mixed, dtype=np.float64), firsts)
 
@@ -137,12 +149,15 @@ def _some(firsts: np.ndarray, n: int, docs: np.ndarray) -> tuple[np.ndarray, np.
     return np.repeat(firsts[docs], sizes) + _text.ranks(sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def infer(model: Model, column: pa.Array, rounds: int = 12, most: int | None = None, penalty: float = 4.0) -> tuple[list[str], np.ndarray, list[str]]:
-    """Language, score and comma-joined language set (of ``most`` languages, if given) of each text."""
+def infer(model: Model, column: pa.Array, rounds: int = MOST_ROUNDS, most: int | None = None, penalty: float = 4.0) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """Language, score, comma-joined language set (of ``most`` languages, if given) and gain of each text.
+
+    The gain is the log-likelihood of the set less that of noise, in which all buckets are as likely.
+    """
     n, size = len(column), len(model.languages)
-    names, scores, sets = [UNKNOWN] * n, np.zeros(n), [""] * n
+    names, scores, sets, gains = [UNKNOWN] * n, np.zeros(n), [""] * n, np.zeros(n)
     if not size or not n:
-        return names, scores, sets
+        return names, scores, sets, gains
     letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     for a, b, doc, bucket in trigrams(column):
         keys = np.sort((doc.astype(np.uint64) << np.uint64(16) | bucket).astype(np.uint32) if b - a < 1 << 16 else doc.astype(np.uint64) << np.uint64(16) | bucket)
@@ -184,8 +199,9 @@ def infer(model: Model, column: pa.Array, rounds: int = 12, most: int | None = N
                 names[d] = model.languages[top[i]]
                 sets[d] = ",".join(model.languages[j] for j in order[i] if chosen[i, j])
         seen = docs + a
+        gains[seen] = np.where(letters[seen], score + np.add.reduceat(counts, firsts).astype(np.float64) * np.log(BUCKETS), 0)
         scores[seen] = np.where(letters[seen], np.clip(share[np.arange(len(docs)), top], 0, 1), 0)
-    return names, scores, sets
+    return names, scores, sets, gains
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -200,7 +216,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, sets = infer(shared.value, batch.column(len(keep)), **options)
+            names, scores, sets, _ = infer(shared.value, batch.column(len(keep)), **options)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores), pa.array(sets, pa.string())], names=[*keep, "lang_pred", "score", "languages"])
 
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
@@ -208,13 +224,17 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
 
 
 def accept(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose main language is known, however many others they hold; columns stay."""
+    """The rows of ``df`` that are in known languages, however many; columns stay.
+
+    Rejected are texts without a letter, and those that the languages chosen for them explain no better than noise
+    does (all buckets as likely): random letters, encoded data, languages without a model.
+    """
     at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _, _ = infer(shared.value, batch.column(at))
-            yield batch.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+            gains = infer(shared.value, batch.column(at))[3]
+            yield batch.filter(pa.array(gains > 0))
 
     return df.mapInArrow(run, df.schema)

@@ -17,7 +17,7 @@ any other.
 equal for equal partitions, also after a lost executor.
 
 Defined results: null text is empty and gives the single id 0; long texts are
-tokenized whole; repeated rows are packed each; an empty table gives no rows;
+tokenized whole; rows with a null or repeated id are packed each; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -93,7 +93,10 @@ def encoder(path: str):
             return plainly(text)
         try:
             return np.array(fast.encode_ordinary(text), dtype=np.uint32)
-        except Exception:  # noqa: BLE001  its pattern engine can give up on odd texts
+        except BaseException as e:
+            # its pattern engine gives up on very long runs of blanks with a panic, which can't be imported
+            if type(e).__name__ != "PanicException":
+                raise
             return plainly(text)
 
     return encode

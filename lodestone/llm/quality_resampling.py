@@ -2,18 +2,18 @@
 
 Two bag-of-n-grams models over hashed word unigrams and bigrams are counted: one of
 target text (rows labelled good), one of the raw corpus (all rows). A document's log
-weight is the mean over its n-grams of the log ratio of the two models, times
-``NORM``: the importance weight of a text like it with that many n-grams, so that
-length alone decides nothing. Adding Gumbel noise, drawn from a hash of the document's id, and taking the ``k`` largest sums
-samples ``k`` documents without replacement in proportion to their weights.
+weight is the log of its likelihood under the first over that under the second: the sum over its n-grams of the
+log ratio of the two. Adding Gumbel noise, drawn from a hash of the document's id, and taking the ``k`` largest sums
+samples ``k`` documents without replacement in proportion to their weights. A ``temperature`` (1 by
+default, which is the likelihood ratio itself) divides log weights, for samples that are less sharp.
 
 The k-th largest sum is found by narrowing histograms over all rows, so nothing is
 sorted in one task and no row is left out.
 
 Defined results: null or blank text has log weight 0; an unlabelled row is raw text
 only; no target rows: all weights are 0 and the sample is uniform; rows whose sum
-equals the k-th are all kept, so repeated rows stay or go together; an empty table
-gives no rows; other columns are ignored.
+equals the k-th are all kept, so repeated rows stay or go together; rows with a null id are no target and share
+one draw of noise; repeated ids share theirs; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ from ._spark import clean, settle
 BUCKETS = 1 << 16
 #: Labelled good rows that the target model is counted over; beyond, a hash of the id decides which.
 TARGET_ROWS = 200_000
-#: N-grams of the text whose importance weight a document gets.
-NORM = 500
 _SLICES = 16
 _BINS = 4096
 
@@ -88,8 +86,8 @@ def fit(df: DataFrame, targets: DataFrame, text: str = "text", key: str = "doc_i
     return np.log((good + smoothing) / (good + smoothing).sum()) - np.log((raw + smoothing) / (raw + smoothing).sum())
 
 
-def score(df: DataFrame, ratio: np.ndarray, text: str = "text", key: str = "doc_id", seed: int = 7) -> DataFrame:
-    """``(key, log_weight, noisy)`` for each row."""
+def score(df: DataFrame, ratio: np.ndarray, text: str = "text", key: str = "doc_id", seed: int = 7, temperature: float = 1.0) -> DataFrame:
+    """``(key, log_weight, noisy)`` for each row; log_weight is divided by the temperature."""
     kept = clean(df, key, text)
     shared = df.sparkSession.sparkContext.broadcast(ratio)  # 512 KB
 
@@ -99,12 +97,11 @@ def score(df: DataFrame, ratio: np.ndarray, text: str = "text", key: str = "doc_
             data, offsets = _text.utf8(batch.column(1))
             for a, b in _text.chunks(offsets):
                 bucket, doc = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                sums = np.bincount(doc, weights=shared.value[bucket], minlength=b - a)
-                total[a:b] = NORM * sums / np.maximum(np.bincount(doc, minlength=b - a), 1)
+                total[a:b] = np.bincount(doc, weights=shared.value[bucket], minlength=b - a) / temperature
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total)], names=[key, "log_weight"])
 
     weighted = kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, log_weight double")
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)  # never 0 or 1
     return weighted.withColumn("noisy", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
@@ -131,8 +128,8 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def resample(df: DataFrame, targets: DataFrame, share: float, text: str = "text", key: str = "doc_id", seed: int = 7) -> DataFrame:
+def resample(df: DataFrame, targets: DataFrame, share: float, text: str = "text", key: str = "doc_id", seed: int = 7, temperature: float = 1.0) -> DataFrame:
     """One row per input row: key, ``log_weight``, ``noisy``, ``kept``; ``share`` of all rows is kept, as the ids of ``targets`` suggest."""
-    scored = settle(score(df, fit(df, targets, text, key), text, key, seed), "scores")
+    scored = settle(score(df, fit(df, targets, text, key), text, key, seed, temperature), "scores")
     limit = kth_largest(scored, "noisy", round(share * scored.count()))
     return scored.withColumn("kept", F.col("noisy") >= F.lit(limit) if limit is not None else F.lit(False))

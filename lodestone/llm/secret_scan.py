@@ -11,7 +11,7 @@ The index is local to a batch, like a segment of a search engine, so no row is
 shuffled and a long document costs what its length costs.
 
 Defined results: null text is empty; an empty table gives no rows; repeated
-rows are scanned each; extra input columns are ignored.
+rows, and rows with a null id, are scanned each; extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +55,8 @@ class Rule:
         return trigram_query(self.pattern)
 
 
-_P = re._parser
+#: The parse trees of the standard library's own expressions; the public name of this module is deprecated.
+_PARSER = re._parser
 _MOST_STRINGS = 64
 
 
@@ -89,7 +90,7 @@ def _exact_one(op, arg) -> set[str] | None:
     if name == "MAX_REPEAT":
         low, high, body = arg
         one = _exact(body)
-        if one is None or high == _P.MAXREPEAT or high > 4:
+        if one is None or high == _PARSER.MAXREPEAT or high > 4:
             return None
         out = set()
         for n in range(low, high + 1):
@@ -109,7 +110,7 @@ def trigram_query(pattern: str) -> tuple[frozenset[bytes], ...]:
     """
     runs: list[set[str]] = []
     current: set[str] = {""}
-    for op, arg in _P.parse(pattern):
+    for op, arg in _PARSER.parse(pattern):
         got = _exact_one(op, arg)
         if got is None and str(op) == "MAX_REPEAT" and arg[0] >= 1:
             got = _exact(arg[2])  # one occurrence is certain; nothing is known after it

@@ -738,7 +738,7 @@ def test_every_language_of_a_text_is_found(spark):
         "cc": make("cc", 12_000),
         "dd": make("dd", 9),
     }
-    _, scores, sets = language_id.infer(model, pa.array(list(texts.values())))
+    _, scores, sets, _ = language_id.infer(model, pa.array(list(texts.values())))
     assert [",".join(sorted(x.split(","))) for x in sets] == list(texts)
     assert scores[2] > 0.99
     assert [x.count(",") + 1 for x in language_id.infer(model, pa.array(list(texts.values())), most=2)[2]] == [2, 2, 2, 1, 1]
