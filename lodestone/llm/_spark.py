@@ -87,6 +87,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column of ``df`` has one of them (in either case)."""
+    taken, mark = {c.lower() for c in df.columns}, "__lodestone_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def clean(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._components import components, forest
-from ._spark import broadcast_if_small, clean, measured_bytes, settle
+from ._spark import broadcast_if_small, clean, measured_bytes, settle, unused
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -303,12 +303,13 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", **options)
 
     Of repeated rows of one id one stays: the first by their text.
     """
-    gone = settle(near_duplicates(df, text, key, **options).where("not kept").select(F.col(key).alias("_gone")).distinct(), "gone")
-    left = df.join(broadcast_if_small(gone, measured_bytes(gone)), df[f"`{key}`"] == gone["_gone"], "left_anti")
-    repeated = settle(left.select(F.col(f"`{key}`").alias("_id")).where("_id is not null").groupBy("_id").count().where("count > 1").select("_id"), "repeated")
+    removed, again = unused(df, "gone", "again")
+    gone = settle(near_duplicates(df, text, key, **options).where("not kept").select(F.col(key).alias(removed)).distinct(), "gone")
+    left = df.join(broadcast_if_small(gone, measured_bytes(gone)), F.col(f"`{key}`") == F.col(removed), "left_anti")
+    repeated = settle(left.select(F.col(f"`{key}`").alias(again)).where(F.col(again).isNotNull()).groupBy(again).count().where("count > 1").select(again), "repeated")
     if repeated.isEmpty():
         return left
-    same = left[f"`{key}`"] == repeated["_id"]
-    rank = "__lodestone_rank"
+    same = F.col(f"`{key}`") == F.col(again)
+    (rank,) = unused(df, "rank")
     once = left.join(repeated, same, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(f"`{key}`").orderBy(F.col(f"`{text}`")))).where(F.col(rank) == 1).drop(rank)
     return left.join(repeated, same, "left_anti").unionByName(once)

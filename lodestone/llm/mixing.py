@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import broadcast_if_small, clean, measured_bytes, settle
+from ._spark import broadcast_if_small, clean, measured_bytes, settle, unused
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -156,8 +156,7 @@ def resample(df: DataFrame, text: str = "text", source: str = "source", key: str
     Rows meet their copies by key, size and source. Where rows that share these differ in copies, as many of them
     as in the mix get one more, first by text.
     """
-    mine = [f"__lodestone_{c}" for c in ("key", "size", "source", "low", "high", "n_high", "copy")]
-    name, size, origin, low, high, n_high, copy = mine
+    name, size, origin, low, high, n_high, copy = unused(df, "key", "size", "source", "low", "high", "n_high", "copy")
     found = _mixed(df, text, source, key, weights).select(F.col("doc_id").alias(name), F.col("size").alias(size), F.col("source").alias(origin), "copies")
     # copies of one size and source differ by one at most
     counted = found.groupBy(name, size, origin).agg(F.min("copies").alias(low), F.max("copies").alias(high), (F.sum("copies") - F.count("*") * F.min("copies")).alias(n_high))
