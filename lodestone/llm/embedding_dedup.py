@@ -45,6 +45,12 @@ def directions(dim: int, projections: int = PROJECTIONS, seed: int = SEED) -> np
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which changes no cosine, so that squares neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -power)
+
+
 def calibrate(threshold: float, projections: int, most_misses: int | None = None) -> tuple[float, int]:
     """Half-width of the windows and the least count of collisions that no link can miss."""
     reach = max(2 - 2 * threshold, 0.0)
@@ -97,7 +103,7 @@ def _first_projection(projections: int, threshold: float):
             firsts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             out = np.zeros(len(batch), np.int64)
             for i in range(len(batch)):
-                v = values[firsts[i] : firsts[i + 1]]
+                v = scaled(values[None, firsts[i] : firsts[i + 1]])[0]
                 out[i] = np.floor(v @ _axis(len(v), projections) / np.linalg.norm(v) / slab)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "slab"])
 
@@ -123,7 +129,7 @@ def _links(threshold: float, projections: int):
         u, v, n = none, none, none
         if len(table) > 1 and (table.column("same")[0].as_py() or 0 < split < len(table)):
             lists = table.column("vector").combine_chunks()
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+            x = scaled(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1))
             ids, counts = table.column("rep").to_numpy(), table.column("n").to_numpy()
             i, j = block_pairs(x, split, threshold, projections)
             if len(i):
@@ -142,10 +148,9 @@ def _links(threshold: float, projections: int):
 def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, projections: int = PROJECTIONS) -> DataFrame:
     """One row per input row: key, ``n_links``, ``component_id``, ``kept``, ``copy_of``."""
     rows = clean(df, key, label, vector).toDF("vec_id", "label", "vector")
-    numbers = F.transform("vector", lambda x: x.cast("double"))
-    sound = F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x * x)
-    # a component that isn't finite makes the sum NaN or infinite; a null makes it null
-    fine = F.col("label").isNotNull() & sound.isNotNull() & ~F.isnan(sound) & (sound > 0) & (sound < float("inf"))
+    numbers = F.transform("vector", lambda x: F.abs(x.cast("double")))
+    sound = F.aggregate(numbers, F.lit(0.0), lambda s, x: F.when(s.isNull() | x.isNull() | F.isnan(x), F.lit(None)).otherwise(F.greatest(s, x)))
+    fine = F.col("label").isNotNull() & sound.isNotNull() & (sound > 0) & (sound < float("inf"))
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     reps = settle(rows.where("fine and vec_id is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     placed = settle(reps.select("label", "rep", "n", "vector").mapInArrow(_first_projection(projections, threshold), reps.select("label", "rep", "n", "vector").schema.add("slab", "long")).withColumn("dim", F.size("vector")), "slabs")

@@ -3,8 +3,10 @@
 A text's UTF-8 bytes, padded with blanks to a multiple of 192, become the samples
 of an 8-bit grey PNG image of width 192 (lossless, so the payload comes back
 unchanged). Every task appends its images to tar shards in a folder that all nodes
-share; a member is named by the SHA-256 of its bytes and stored once a shard. Rows
-carry digest, shard, offset and length. Metadata columns are then filled from range
+share; a member is named by the SHA-256 of its bytes and stored once a task. Rows
+carry digest, shard, offset and length: where several tasks stored a member, all rows with its digest carry the
+first address (by shard and offset), so equal contents have one address in the whole table. The others stay in their
+shards unread: finding them before writing would mean to shuffle all texts. Metadata columns are then filled from range
 reads of the header alone, and features from range reads of the member.
 
 Shards are written whole under a temporary name and renamed, and their names follow
@@ -12,7 +14,7 @@ from the task, so a task that is run again leaves the same files. Shards reach t
 shared folder through pyarrow's file systems (file, S3, GCS, HDFS).
 
 Defined results: null text is empty, a payload of 192 blanks; equal texts give equal
-values; long texts are one member whatever their size; an empty table gives no rows
+values; rows with a null or repeated id each keep their own; long texts are one member whatever their size; an empty table gives no rows
 and no shards; other columns are ignored.
 """
 
@@ -30,8 +32,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._spark import clean, qualified, scratch_path, settle
+from ._spark import broadcast_if_small, clean, measured_bytes, qualified, scratch_path, settle
 
 UNIT = 192
 SHARD_BYTES = 32 << 20
@@ -103,18 +106,19 @@ class _Shard:
     number: int = 0
     parts: list[bytes] = field(default_factory=list)
     size: int = 0
-    members: dict[str, tuple[int, int]] = field(default_factory=dict)
+    members: dict[str, tuple[str, int, int]] = field(default_factory=dict)
 
     @property
     def name(self) -> str:
         return f"{self.root}/shard-{self.task:06d}-{self.number:06d}.tar"
 
-    def add(self, digest: str, media: bytes) -> tuple[int, int]:
+    def add(self, digest: str, media: bytes) -> tuple[str, int, int]:
+        """Shard, offset and length of a member."""
         if digest not in self.members:
             info = tarfile.TarInfo(f"{digest}.png")
             info.size = len(media)
             head = info.tobuf(tarfile.GNU_FORMAT)
-            self.members[digest] = self.size + len(head), len(media)
+            self.members[digest] = self.name, self.size + len(head), len(media)
             pad = -len(media) % _BLOCK
             self.parts += [head, media, b"\0" * pad]
             self.size += len(head) + len(media) + pad
@@ -131,14 +135,14 @@ class _Shard:
                 out.write(b"\0" * (2 * _BLOCK))
             fs.move(attempt, path)
         self.number += 1
-        self.parts, self.size, self.members = [], 0, {}
+        self.parts, self.size = [], 0
 
 
 _ROW = "digest string, shard string, offset long, length long, n_bytes long"
 
 
 def write_shards(df: DataFrame, root: str, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Store every text; rows ``(key, digest, shard, offset, length, n_bytes)``, settled."""
+    """Store every text; rows ``(key, digest, shard, offset, length, n_bytes)``, read from a settled table."""
     kept = clean(df, key, text)
     names = [key, "digest", "shard", "offset", "length", "n_bytes"]
 
@@ -150,7 +154,7 @@ def write_shards(df: DataFrame, root: str, text: str = "text", key: str = "doc_i
                 data = (t.as_py() or "").encode()
                 media = encode_image(payload_of(data))
                 digest = hashlib.sha256(media).hexdigest()
-                rows.append((digest, shard.name, *shard.add(digest, media), len(data)))
+                rows.append((digest, *shard.add(digest, media), len(data)))
                 if shard.size >= shard_bytes:
                     shard.close()
             columns = list(zip(*rows, strict=True)) or [[]] * 5
@@ -158,7 +162,17 @@ def write_shards(df: DataFrame, root: str, text: str = "text", key: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=names)
         shard.close()
 
-    return settle(kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, {_ROW}"), "media")
+    return _one_address(settle(kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, {_ROW}"), "media"))
+
+
+def _one_address(rows: DataFrame) -> DataFrame:
+    """``rows`` with the first address of each digest."""
+    address = F.struct("shard", "offset")
+    several = rows.groupBy("digest").agg(F.min(address).alias("_first"), F.max(address).alias("_last")).where("_first <> _last").select("digest", "_first")
+    several = settle(several, "addresses")
+    joined = rows.join(broadcast_if_small(several, measured_bytes(several)), "digest", "left")
+    moved = {c: F.coalesce(f"_first.{c}", c).alias(c) for c in ("shard", "offset")}
+    return joined.select(*(moved.get(c, F.col(f"`{c}`")) for c in rows.columns))
 
 
 class _Reader:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import _text, language_id, packing, quality_resampling
+from lodestone.llm import _text, embedding_dedup, language_id, media_columns, packing, quality_resampling
 
 # --- quality ------------------------------------------------------------------------------
 
@@ -131,3 +131,28 @@ def test_long_blank_runs_are_tokenized():
     encode = packing.encoder(packing.default_tokenizer())
     for text in (" " * 1_200_000 + "x", " \n" * 600_000, "a" * 200_000):
         assert encode(text).tolist() == packing._tokenizer(packing.default_tokenizer()).encode(text, add_special_tokens=False).ids
+
+
+# --- media and vectors --------------------------------------------------------------------
+
+
+def test_equal_contents_have_one_address(spark, tmp_path):
+    rows = [(i, f"text {i % 7} " * 30) for i in range(60)] + [(None, "text 3 " * 30), (5, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    stored = media_columns.write_shards(df, f"file://{tmp_path}/shards", shard_bytes=1500)
+    found = stored.groupBy("digest").agg(F.count_distinct("shard", "offset").alias("n")).collect()
+    assert len(found) == 8 and all(r.n == 1 for r in found)
+    assert stored.count() == len(rows)
+    features = media_columns.with_features(media_columns.with_metadata(stored)).collect()
+    assert len({r.media_sha256 for r in features}) == 8
+
+
+def test_vectors_of_any_size_link(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(8)
+    rows = [(i, [float(x) for x in scale * base], 0) for i, scale in enumerate((1e300, 1.0, 1e-300, 5e-324, -1e200))]
+    rows += [(10, [0.0] * 8, 0), (11, [float("inf")] + [1.0] * 7, 0), (12, [None] + [1.0] * 7, 0), (13, [float("nan")] + [1.0] * 7, 0), (14, None, 0), (15, [1e308] * 8, 1), (16, [1e-308] * 8, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[0] == got[1] == got[2] == (2, 0) and got[4] == (0, 4)
+    assert got[15] == got[16] == (1, 15)
+    assert all(got[i] == (0, i) for i in (10, 11, 12, 13, 14))
