@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import clean, plan_bytes, settle, shuffle_partitions
+from ._spark import clean, plan_bytes, settle
 
 WINDOW = 50
 #: Compressed input bytes for which one bucket of window hashes is made.
@@ -223,10 +223,13 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", width: int
     kept = clean(df, key, text).where(F.col(f"`{key}`").isNotNull())
     buckets = bucket_count(kept)
     packed = kept.mapInArrow(_scan(width, buckets, secrets.randbits(63)), _PACKED)
-    # partitions follow the buckets, so that no task's share grows with the input
-    n = max(shuffle_partitions(df.sparkSession), min(buckets, MOST_PARTITIONS))
-    gone = packed.repartition(n, "bucket").groupBy("bucket").applyInArrow(_decide(buckets), _GONE)
-    return gone.repartition(n, "part").groupBy("part").applyInArrow(_merge(width), _SPANS)
+    gone = _spread(packed, "bucket", buckets).groupBy("bucket").applyInArrow(_decide(buckets), _GONE)
+    return _spread(gone, "part", buckets).groupBy("part").applyInArrow(_merge(width), _SPANS)
+
+
+def _spread(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """One partition a bucket, so that no task's share grows with the input; beyond the bound, buckets share partitions."""
+    return df.repartitionById(buckets, F.col(column)) if buckets <= MOST_PARTITIONS else df.repartition(MOST_PARTITIONS, column)
 
 
 def covered(starts: np.ndarray, width: int) -> np.ndarray:
