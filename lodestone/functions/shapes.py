@@ -41,7 +41,7 @@ TABLE_NOISE = (
 DATE_LIKE = r"^(?:Q[1-4]\s+)?(?:FY|fy|cy|CY|H[12]\s+)?(?:19|20)\d{2}\b"
 PERMISSIVE = r"(?i)^[\s\-+$€£¥₹%()0-9,.–—a-z]+$"
 # Labels that a model makes up.
-PLACEHOLDERS = ("column 1", "column 2", "column 3", "row 1", "row 2", "row 3", "item 1", "item 2", "value 1", "value 2", "example", "placeholder", "lorem ipsum")
+PLACEHOLDERS = ("category a", "category b", "category c", "column 1", "column 2", "column 3", "row 1", "row 2", "row 3", "item 1", "item 2", "value 1", "value 2", "example", "placeholder", "lorem ipsum")
 BIBLIOGRAPHY = r"(?i)\b(?:et al\.?|vol\.?|pp\.?|ibid\.?|op\. cit\.?|doi:|https?://|ISBN|ISSN|journal|press|proceedings)\b"
 CONTENTS_CAPTION = r"(?i)\b(?:Table of Contents|Index|Bibliography|References)\b"
 PAGE_NUMBER = r"^\s*[ivxlcdmIVXLCDM\d\-,\s]+\s*$"

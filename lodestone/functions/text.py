@@ -177,9 +177,9 @@ def snippet(x: Column | str, length: int = 200) -> Column:
 
 
 def clip(x: Column | str, cap: int = 600) -> Column:
-    """One stripped line of ``cap`` characters at most, then an ellipsis."""
-    line = F.regexp_replace(F.trim(col(x)), "\n", " ")
-    return F.when(F.length(line) > cap, F.concat(F.rtrim(F.substring(line, 1, cap)), F.lit("..."))).otherwise(line)
+    """One line without white space around it, of ``cap`` characters at most, then an ellipsis."""
+    line = F.regexp_replace(F.regexp_replace(col(x), r"(?U)^\s+|\s+$", ""), "\n", " ")
+    return F.when(F.length(line) > cap, F.concat(F.regexp_replace(F.substring(line, 1, cap), r"(?U)\s+$", ""), F.lit("..."))).otherwise(line)
 
 
 def scrub_citations(x: Column | str) -> Column:
@@ -222,7 +222,7 @@ def human_bytes(x: Column | str) -> Column:
     c = col(x).cast("double")
     out = F.format_string("%.0f B", c)
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(c >= 1024**power, F.format_string(f"%.1f {unit}", c / 1024**power)).otherwise(out)
+        out = F.when(c >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(c / 1024**power, 1))).otherwise(out)  # ties go to the even digit
     return out
 
 

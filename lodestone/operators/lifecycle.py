@@ -118,12 +118,14 @@ def evaluation(scores: DataFrame, group: str | None = None, low: float = 0.7) ->
 
 def p95(df: DataFrame, value: str, group: str, least: int = 20) -> DataFrame:
     """``(group, p95)`` as the last of 20-quantiles by the exclusive method; under ``least`` values the maximum."""
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(value))).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))  # equal values are one row from here
+    ranked = counted.withColumn("_r", F.sum("_m").over(Window.partitionBy(group).orderBy("_v"))).withColumn("_n", F.sum("_m").over(Window.partitionBy(group)))
     at = 19 * (F.col("_n") + 1) / 20
     low = F.least(F.greatest(F.floor(at), F.lit(1)), F.col("_n") - 1)
+    holds = lambda place: (F.col("_r") >= place) & (F.col("_r") - F.col("_m") < place)
     picked = ranked.groupBy(group).agg(
-        F.first("_n").alias("n"), F.max(value).alias("top"),
-        F.max(F.when(F.col("_r") == low, F.col(value))).alias("a"), F.max(F.when(F.col("_r") == low + 1, F.col(value))).alias("b"), F.first(at - low).alias("w"),
+        F.first("_n").alias("n"), F.max("_v").alias("top"),
+        F.max(F.when(holds(low), F.col("_v"))).alias("a"), F.max(F.when(holds(low + 1), F.col("_v"))).alias("b"), F.first(at - low).alias("w"),
     )
     return picked.select(group, F.when(F.col("n") < least, F.col("top")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("p95"))
 
@@ -135,5 +137,10 @@ def cost_by_task(log: DataFrame) -> DataFrame:
 
 def merge_records(records: DataFrame, key: str, lists: list[str], scalars: list[str]) -> DataFrame:
     """One record a key: list fields united and sorted, scalar fields as the sorted distinct values."""
-    united = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
-    return records.groupBy(key).agg(*united, *[F.array_sort(F.collect_set(c)).alias(c) for c in scalars])
+    plain = records.groupBy(key).agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in scalars]) if scalars else records.select(key).distinct()
+    for c in lists:  # distinct values first, so that what is gathered of a key is its result
+        values = records.select(key, F.explode(c).alias("_v")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("_v")).alias(c))
+        plain = plain.join(values, plain[key].eqNullSafe(values[key]), "left").drop(values[key])
+        kind = dict(records.dtypes)[c]
+        plain = plain.withColumn(c, F.coalesce(c, F.array().cast(kind)))
+    return plain.select(key, *lists, *scalars)

@@ -12,7 +12,7 @@ from ..functions.text import normalize_name, strip_nul
 from ..hooks import Hooks
 from ..operators.chunking import chunk
 from ..operators.resolution import dedup_documents, link_by_substring, name_dictionary
-from ..operators.timeline import hierarchy, masked_mentions
+from ..operators.timeline import hierarchy, mentions
 
 # Predicates by their short names.
 PREDICATES = (
@@ -51,7 +51,7 @@ def ingest(documents: DataFrame, size: int = 800, overlap: int = 120, separator:
 
 def enrich_time(chunks: DataFrame, lowest: str = "day", highest: str = "year") -> tuple[DataFrame, DataFrame]:
     """Time instances of the chunks and the edges to and among them."""
-    found = chunks.select("chunk_id", F.explode(masked_mentions("text")).alias("time_identifier"))
+    found = chunks.select("chunk_id", F.explode(mentions("text")).alias("time_identifier"))
     times = hierarchy(found.select("time_identifier").distinct(), lowest, highest)
     has = edge(found.join(times.select("time_identifier"), "time_identifier", "left_semi"), "chunk", "chunk_id", "hasTime", "time", "time_identifier", "TIME_ENRICHMENT")
     inside = times.where("parent_identifier is not null").join(times.select(F.col("time_identifier").alias("parent_identifier")), "parent_identifier", "left_semi")

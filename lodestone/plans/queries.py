@@ -564,7 +564,7 @@ def time_mentions_masked(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT date_trunc('month', min(d)) AS a, date_trunc('month', max(d)) AS z FROM d),
+    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), b AS (SELECT date_trunc('month', min(d)) AS a, date_trunc('month', max(d)) AS z FROM d),
     m AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS DATE) AS m FROM b),
     r AS (SELECT 'DAY_' || strftime(d, '%Y_%m_%d') AS time_identifier, 'day' AS time_level, d AS start_date, d AS end_date, strftime(d, '%Y-%m-%d') AS display_label, 'MONTH_' || strftime(d, '%Y_%m') AS parent_identifier FROM d
       UNION SELECT 'MONTH_' || strftime(m, '%Y_%m'), 'month', m, last_day(m), strftime(m, '%B %Y'), 'Q' || quarter(m) || '_' || year(m) FROM m
@@ -573,7 +573,7 @@ def time_mentions_masked(spark, sf_dir):
     SELECT * FROM r"""
 )
 def time_hierarchy_gapfill(spark, sf_dir):
-    days = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(C.day_id("o_orderdate").alias("time_identifier")).distinct()
+    days = read(spark, sf_dir, "orders").select(C.day_id("o_orderdate").alias("time_identifier")).distinct()
     return timeline.hierarchy(days)
 
 
