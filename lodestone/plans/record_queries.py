@@ -11,6 +11,7 @@ from ..functions import vectors as V
 from ..operators import chunking, expansion, graph, lifecycle, resolution, retrieval, search, timeline
 from ..sources import tables, web
 from . import browse
+from . import ontology_import as ontology_store
 from .queries import _ISA, _list, fact_edges, query, read, taxonomy
 
 # --- labels and ids -------------------------------------------------------------------
@@ -392,3 +393,27 @@ def wiped_corpus(spark, sf_dir):
     edges = fact_edges(spark, sf_dir).withColumn("relationship_source", F.when(F.col("source_type") == "nation", "ONTOLOGY").otherwise("DOCUMENT_EXTRACTION"))
     _, left = lifecycle.wipe_corpus({"documents": read(spark, sf_dir, "documents")}, edges, 1, True)
     return left.groupBy("source_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_ISA}, k AS (SELECT child AS iri FROM isa UNION SELECT parent FROM isa)
+    SELECT 'class' AS kind, iri, upper(iri) AS a, CASE WHEN starts_with(iri, 'r') THEN 'kept' ELSE 'made' END AS b FROM k
+    UNION ALL SELECT 'edge', child, parent, '7' FROM isa UNION ALL SELECT 'edge', 'doc', 'n1', '3'
+    UNION ALL SELECT 'property', 'p' || s_suppkey, s_name, 'object' FROM supplier UNION ALL SELECT 'instance', 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer"""
+)
+def ontology_import(spark, sf_dir):
+    classes, _ = taxonomy(spark, sf_dir)
+    incoming = classes.withColumn("name", F.col("iri")).withColumn("labels", F.array(F.lit(" "), F.upper("iri"))).drop("label")
+    named = lambda df, iri, label: df.select(iri.alias("iri"), F.col(label).alias("name"), F.array().cast("array<string>").alias("labels"), F.array(F.lit("file")).alias("sources"))
+    props = named(read(spark, sf_dir, "supplier"), F.concat(F.lit("p"), "s_suppkey"), "s_name")
+    people = read(spark, sf_dir, "customer")
+    instances = people.select(F.concat(F.lit("c"), "c_custkey").alias("iri"), F.col("c_name").alias("name"), F.array(F.struct(F.concat(F.lit("n"), "c_nationkey").alias("iri"))).alias("types"))
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    regions = classes.where(F.col("iri").startswith("r")).select("iri", "label", F.lit(None).cast("string").alias("description"), F.lit("").alias("namespace"), F.lit("kept").alias("source"), F.array(F.lit(1.0)).alias("embedding"))
+    five = "iri string, label string, description string, namespace string, source string"
+    edges = spark.createDataFrame([("chunk", "doc", "assertsAbout", "ontology_class", "n1", "DOCUMENT_EXTRACTION", 3), ("ontology_class", "n1", "subClassOf", "ontology_class", "gone", "ONTOLOGY", 2)], ", ".join(f"{c} string" for c in ontology_store.EDGE[:-1]) + ", graph_version long")
+    store = ontology_store.Store(regions, empty(five + ", kind string"), empty(five + ", type_iri string"), edges)
+    new = ontology_store.import_ontology(store, incoming.withColumn("equivalent_to", F.array(F.struct("iri"))), {"object": props}, instances, 7, lambda text: F.array(F.length(text).cast("double")))
+    out = new.classes.select(F.lit("class").alias("kind"), "iri", F.col("label").alias("a"), F.coalesce("source", F.lit("made")).alias("b"))
+    out = out.union(ontology_store.as_of(new.edges, 7).select(F.lit("edge"), "source_id", "target_id", F.col("graph_version").cast("string")))
+    return out.union(new.properties.select(F.lit("property"), "iri", "label", "kind")).union(new.instances.select(F.lit("instance"), "iri", "label", "type_iri"))

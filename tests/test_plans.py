@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone import cli
@@ -102,3 +103,42 @@ def test_names_of_many_words_are_linked(spark):
     linked = lambda *a: sorted((r.source_id, r.target_id) for r in ingest.link_entities(chunks, *a).collect())
     assert linked(entities) == [("c1", "e1"), ("c2", "e2")]
     assert linked(entities.limit(0)) == []
+
+
+def test_version_counter_never_gives_a_number_twice(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lodestone.plans.ontology_import import VersionCounter
+
+    counter = VersionCounter(spark, f"file://{tmp_path}/version")
+    with pytest.raises(RuntimeError):
+        counter.current()
+    counter.start()
+    counter.start()
+    assert counter.current() == 0
+    with ThreadPoolExecutor(4) as pool:
+        given = list(pool.map(lambda _: counter.bump(), range(24)))
+    assert sorted(given) == list(range(1, 25))
+    assert counter.current() == 24
+
+
+def test_ontology_import_again_changes_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.plans import ontology_import as o
+
+    entity = "array<struct<iri: string>>"
+    classes = spark.createDataFrame([("x#a", "a", ["Alpha"], ["first\x00"], [("x#b",), ("x#a",), ("far#z",)], []), ("x#b", "b", [], [], [], [("x#a",)]), ("x#c", "c", ["Gone"], [], [], [])], f"iri string, name string, labels array<string>, descriptions array<string>, superclasses {entity}, equivalent_to {entity}")
+    five = "iri string, label string, description string, namespace string, source string"
+    stored = spark.createDataFrame([("x#c", "Old", None, "x#", None, [0.5])], five + ", embedding array<double>")
+    edges = spark.createDataFrame([], ", ".join(f"{c} string" for c in o.EDGE[:-1]) + ", graph_version long")
+    instances = spark.createDataFrame([("x#i", "i", [("x#a",)])], f"iri string, name string, types {entity}")
+    store = o.Store(stored, spark.createDataFrame([], five + ", kind string"), spark.createDataFrame([], five + ", type_iri string"), edges)
+    embed = lambda t: F.array(F.length(t).cast("double"))
+    once = o.import_ontology(store, classes, {}, instances, 4, embed)
+    twice = o.import_ontology(once, classes, {}, instances, 5, lambda t: F.array(F.lit(-1.0)))
+    assert {r.iri: (r.label, r.description, r.embedding) for r in once.classes.collect()} == {"x#a": ("Alpha", "first", [13.0]), "x#b": ("b", None, [1.0]), "x#c": ("Old", None, [0.5])}
+    assert sorted(map(str, once.classes.collect())) == sorted(map(str, twice.classes.collect()))
+    assert sorted((r.source_id, r.predicate, r.target_id, r.graph_version) for r in once.edges.collect()) == [("x#a", "subClassOf", "x#b", 4), ("x#b", "equivalentClass", "x#a", 4)]
+    assert twice.edges.count() == 2 and o.as_of(twice.edges, 4).count() == 0
+    assert [(r.iri, r.type_iri) for r in twice.instances.collect()] == [("x#i", "x#a")]
