@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,9 +105,18 @@ class VersionCounter:
 
     def _make(self, version: int) -> bool:
         """Whether this call made the version's (empty) file."""
+        path = self._path(f"v{version}")
+        if self._fs.getScheme() == "file":  # Hadoop's local files look first and create then, which is two steps
+            place = Path(path.toUri().getPath())
+            place.parent.mkdir(parents=True, exist_ok=True)
+            try:
+                place.open("x").close()
+            except FileExistsError:
+                return False
+            return True
         try:
-            return bool(self._fs.createNewFile(self._path(f"v{version}")))
+            return bool(self._fs.createNewFile(path))
         except Py4JJavaError:
-            if self._fs.exists(self._path(f"v{version}")):  # another caller was faster
+            if self._fs.exists(path):  # another caller was faster
                 return False
             raise

@@ -21,6 +21,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that all nodes share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
