@@ -12,6 +12,7 @@ from ..operators import chunking, expansion, graph, lifecycle, resolution, retri
 from ..sources import tables, web
 from . import browse
 from . import ontology_import as ontology_store
+from . import versions
 from .queries import _ISA, _list, fact_edges, query, read, taxonomy
 
 # --- labels and ids -------------------------------------------------------------------
@@ -417,3 +418,64 @@ def ontology_import(spark, sf_dir):
     out = new.classes.select(F.lit("class").alias("kind"), "iri", F.col("label").alias("a"), F.coalesce("source", F.lit("made")).alias("b"))
     out = out.union(ontology_store.as_of(new.edges, 7).select(F.lit("edge"), "source_id", "target_id", F.col("graph_version").cast("string")))
     return out.union(new.properties.select(F.lit("property"), "iri", "label", "kind")).union(new.instances.select(F.lit("instance"), "iri", "label", "type_iri"))
+
+
+@query(
+    f"""WITH {_KINDS}, m AS (SELECT iri AS old, 'https://example.org/moved/' || replace(label, ' ', '_') AS new, 'https://example.org/top' AS parent FROM k WHERE length(label) % 2 = 0), c AS (SELECT iri, label, parent FROM k UNION ALL SELECT 'https://example.org/leaf/' || replace(label, ' ', '_'), label, iri FROM k)
+    SELECT coalesce(m.new, c.iri) AS iri, c.label, coalesce(r.new, m.parent, c.parent) AS parent FROM c LEFT JOIN m ON m.old = c.iri LEFT JOIN m r ON r.old = coalesce(m.parent, c.parent)"""
+)
+def moved_classes(spark, sf_dir):
+    kinds = _kinds(spark, sf_dir).select("iri", "label", "parent")
+    leaves = kinds.select(F.concat(F.lit("https://example.org/leaf/"), X.slugify("label")), "label", F.col("iri").alias("parent"))
+    moves = kinds.where(F.length("label") % 2 == 0).select(F.col("iri").alias("old"), F.concat(F.lit("https://example.org/moved/"), X.slugify("label")).alias("new"), F.lit("https://example.org/top").alias("parent"))
+    return expansion.move(kinds.union(leaves), moves)
+
+
+@query(f"""WITH {_KINDS} SELECT iri AS old, 'https://example.org/project/' || replace(label, ' ', '_') AS new FROM k WHERE label NOT IN ('red widget', 'small ring')""")
+def repaired_classes(spark, sf_dir):
+    return versions.repaired(_kinds(spark, sf_dir), "https://example.org/project/", ("https://example.org/base/",), ("red_widget", "small_ring"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' river' ELSE '' END AS label, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'https://example.org/ontology/geography#Place' WHEN 2 THEN 'https://example.org/ontology/geography#Island' ELSE 'https://example.org/thing' END AS parent FROM part)
+    SELECT p_partkey, parent IS NULL OR NOT contains(parent, 'geography') OR label LIKE '% river' OR parent LIKE '%#Island' AS safe FROM p"""
+)
+def safe_parents(spark, sf_dir):
+    k = F.col("p_partkey")
+    label = F.concat("p_name", F.when(k % 3 == 0, " River").otherwise(""))
+    parent = F.when(k % 4 == 1, "https://example.org/ontology/geography#Place").when(k % 4 == 2, "https://example.org/ontology/geography#Island").when(k % 4 == 3, "https://example.org/thing")
+    return read(spark, sf_dir, "part").select("p_partkey", expansion.safe_parent(label, parent).alias("safe"))
+
+
+@query(
+    """WITH c AS (SELECT p_partkey AS k, ['Island_', 'River_Delta_', 'Market_', 'War_Island_'][p_partkey % 4 + 1] || p_partkey AS n FROM part)
+    SELECT 'https://example.org/a#' || n AS old, 'https://example.org/g#' || n AS new, 'https://example.org/g#' || CASE k % 4 WHEN 0 THEN 'Island' ELSE 'Delta' END AS parent, 'landform:' || CASE k % 4 WHEN 0 THEN 'island' ELSE 'delta' END AS signal FROM c WHERE k % 4 < 2"""
+)
+def landform_places(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat(F.get(F.array(F.lit("Island_"), F.lit("River_Delta_"), F.lit("Market_"), F.lit("War_Island_")), (k % 4).cast("int")), k.cast("string"))
+    rows = read(spark, sf_dir, "part").select(F.concat(F.lit("https://example.org/a#"), name).alias("iri"), F.replace(name, F.lit("_"), F.lit(" ")).alias("label"), F.lit(None).cast("string").alias("parent"))
+    homes = spark.createDataFrame([(f"https://example.org/g#{n}", n, "https://example.org/g#Place") for n in ("Island", "Delta", "River")], "iri string, label string, parent string")
+    return expansion.place_landforms(rows.union(homes))
+
+
+@query("""SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey % 3 = 0 AND l_suppkey % 3 = 0""")
+def visible_edges(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    nodes = rows.select(F.col("a").alias("node")).union(rows.select("b")).where("node % 3 = 0")
+    return graph.visible_edges(rows, nodes)
+
+
+@query("""SELECT p_partkey, '<p>Price of ' || p_name || ': ' || p_partkey || '</p><p>end</p>' AS page FROM part""")
+def unwrapped_facts(spark, sf_dir):
+    page = F.concat(F.lit("<p>Price of <ix:nonNumeric name=\"n\">"), "p_name", F.lit("</ix:nonNumeric>: <ix:nonFraction unitRef='usd'>"), F.col("p_partkey").cast("string"), F.lit("</ix:nonFraction></p><div style=\"display:none\"><span>ref</span></div><p>end</p>"))
+    return read(spark, sf_dir, "part").select("p_partkey", web.without_inline_facts(page).alias("page"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, CAST(ceil(len(w) / 150.0) AS BIGINT) AS n_pieces, md5(array_to_string(w, ' ')) AS digest FROM w"""
+)
+def section_pieces(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", chunking.split_on_sections("text", 150).alias("p"))
+    return d.select("doc_id", F.size("p").cast("long").alias("n_pieces"), F.md5(F.array_join(chunking.tokens(F.array_join("p", " ")), " ").cast("binary")).alias("digest"))
