@@ -46,36 +46,44 @@ def export(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def register(spark: SparkSession, args: argparse.Namespace) -> None:
     """Text files of a folder as documents, chunks, times, findings and edges."""
+    from .hooks import Hooks
     from .plans.ingest import build_graph
     from .sources.documents import load_documents
 
     docs = load_documents(spark, args.source).where("readable").select(F.xxhash64("path").alias("doc_id"), "text")
     entities = spark.read.option("header", "true").schema("entity_id string, name string").csv(args.entities) if args.entities else spark.createDataFrame([], "entity_id string, name string")
     built = build_graph(docs, entities, size=args.size, overlap=args.overlap)
-    for name in ("documents", "chunks", "times", "findings", "edges"):
-        getattr(built, name).write.mode("overwrite").parquet(f"{args.out}/{name}")
+    embed = Hooks().embed
+    tables = {n: getattr(built, n) for n in ("documents", "chunks", "times", "findings", "edges")}
+    tables["findings"] = built.findings.withColumn("embedding", embed(F.col("text")))
+    tables["entities"] = entities.withColumn("embedding", embed(F.col("name")))
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{args.out}/{name}")
 
 
 def query(spark: SparkSession, args: argparse.Namespace) -> None:
-    """The best chunks for a question: all chunks that share an edge with an entity or time, reranked and fused."""
-    from .functions.vectors import hashed_embedding
-    from .operators.chunking import truncate
-    from .plans.retrieve import Store, retrieve
-
-    chunks, edges = spark.read.parquet(f"{args.source}/chunks"), spark.read.parquet(f"{args.source}/edges")
-    items = chunks.select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("node_type"), "text", "embedding")
-    seeds = items.select("node_type", F.col("id").alias("node_id"))
-    dim = F.size("embedding")
-    width = items.select(dim).head()[0]
-    probe = spark.createDataFrame([(0, args.question)], "probe int, q string").select("probe", hashed_embedding(truncate("q"), width).cast("array<double>").alias("probe_vector"))
-    retrieve(Store(edges, items), seeds, probe, args.mode, 0).select("score", "id", F.left("text", F.lit(120)).alias("text")).show(args.show, False)
+    """The answer to a question and its evidence, from a graph folder."""
+    from .plans.answer import Corpus, answer, record
+
+    read = lambda name: spark.read.parquet(f"{args.source}/{name}")
+    text, vector = F.col("text"), F.col("embedding").cast("array<double>").alias("embedding")
+    chunks = read("chunks").select("chunk_id", "document_id", F.lit("summary").alias("kind"), F.lit("ACTIVE").alias("status"), text, vector)
+    artifacts = read("findings").select("artifact_id", "document_id", F.lit("Finding").alias("artifact_type"), text, vector)
+    entities = read("entities").select("entity_id", "name", vector)
+    classes = read("classes") if args.classes else spark.createDataFrame([], "class_id string, iri string, label string, embedding array<double>")
+    said = answer(Corpus(classes, entities, read("times").select("time_identifier"), chunks, artifacts, read("edges")), args.question, args.mode, args.hops)
+    print(said.text)
+    said.evidence.orderBy("rank").select("rank", "kind", "score", "id", "snippet").show(args.show, False)
+    if args.record:
+        for name, rows in zip(("runs", "evidence"), record(said, "", 0), strict=True):
+            rows.write.mode("append").parquet(f"{args.source}/{name}")
 
 
 def status(spark: SparkSession, args: argparse.Namespace) -> None:
     """Rows of each table of a graph folder."""
     from .operators.lifecycle import count_tables
 
-    count_tables({n: spark.read.parquet(f"{args.source}/{n}") for n in ("documents", "chunks", "times", "findings", "edges")}).show(truncate=False)
+    count_tables({n: spark.read.parquet(f"{args.source}/{n}") for n in ("documents", "chunks", "times", "entities", "findings", "edges")}).show(truncate=False)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -86,7 +94,7 @@ def parser() -> argparse.ArgumentParser:
         (prune, [("source", {}), ("out", {}), ("--keep", {"nargs": "+", "default": []}), ("--protect", {"nargs": "*", "default": []})]),
         (export, [("source", {}), ("out", {})]),
         (register, [("source", {}), ("out", {}), ("--entities", {}), ("--size", {"type": int, "default": 800}), ("--overlap", {"type": int, "default": 120})]),
-        (query, [("source", {}), ("question", {}), ("--mode", {"default": "simple_qa"}), ("--show", {"type": int, "default": 10})]),
+        (query, [("source", {}), ("question", {}), ("--mode", {"default": "deep_research"}), ("--hops", {"type": int, "default": 3}), ("--show", {"type": int, "default": 10}), ("--classes", {"action": "store_true"}), ("--record", {"action": "store_true"})]),
         (status, [("source", {})]),
     ):
         sub = commands.add_parser(run.__name__, help=run.__doc__)

@@ -35,6 +35,49 @@ def intent_of(question: Column) -> Column:
     return F.when(q.rlike(r"\b(?:compare|versus|vs|difference between)\b"), "comparison").when(q.rlike(r"\b(?:list|which|what are|enumerate)\b"), "enumeration").when(q.rlike(r"\bwhy\b"), "causal").otherwise("factoid")
 
 
+#: Words that open a question and are no part of a name.
+OPENING = r"(?i)^(?:who|what|when|where|which|why|how|is|are|was|were|do|does|did|can|compare|list|the|and|in)(?:\s+|$)"
+
+
+def parsed_question(question: Column) -> Column:
+    """Capitalized runs that don't open the question as entities, years as time terms, and the keyword intent."""
+    runs = F.regexp_extract_all(question, F.lit(r"(?U)((?:\p{Lu}[\w&.-]*\w|\p{Lu})(?:\s+(?:\p{Lu}[\w&.-]*\w|\p{Lu}))*)"), F.lit(1))
+    years = F.regexp_extract_all(question, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
+    names = F.filter(F.transform(runs, lambda n: F.regexp_replace(n, OPENING, "")), lambda n: n != "")
+    return F.struct(names.alias("entities"), years.alias("time_terms"), intent_of(question).alias("intent"))
+
+
+def question_parts(question: Column) -> Column:
+    """Sub-questions: what stands between question marks and semicolons, if there are several."""
+    parts = F.filter(F.transform(F.split(question, r"[?;]\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
+
+
+def one_round(question: Column) -> Column:
+    """The planner's stand-in: no bridge question."""
+    return F.struct(F.lit(None).cast("string").alias("bridge"), F.lit(None).cast("string").alias("final"))
+
+
+def probe_an_entity(question: Column, entities: Column) -> Column:
+    """The question with each entity after it."""
+    return F.transform(entities, lambda e: F.concat(question, F.lit(" "), e))
+
+
+def checked_sentences(source: Column, n: int) -> Column:
+    """Questions' stand-in: the first sentences with a number or a date, which a summary should hold."""
+    return F.slice(sentences_with_cues(source), 1, n)
+
+
+def missing_sentences(questions: Column, summary: Column) -> Column:
+    """What the summary lacks of the questions' sentences."""
+    return F.filter(questions, lambda q: ~F.contains(F.coalesce(summary, F.lit("")), q))
+
+
+def with_missing(summary: Column, missing: Column, source: Column) -> Column:
+    """The revised summary: the missing sentences after it."""
+    return F.concat_ws(" ", summary, F.array_join(missing, " "))
+
+
 def sentences_with_cues(text: Column) -> Column:
     """Candidate findings: sentences with a number or a date."""
     return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: s.rlike(r"\d"))
@@ -58,6 +101,13 @@ class Hooks:
     intent: Callable[[Column], Column] = intent_of
     findings: Callable[[Column], Column] = sentences_with_cues
     judge: Callable[[Column, Column], Column] = overlap_score
+    parse_question: Callable[[Column], Column] = parsed_question
+    decompose: Callable[[Column], Column] = question_parts
+    entity_probes: Callable[[Column, Column], Column] = probe_an_entity
+    plan_rounds: Callable[[Column], Column] = one_round
+    questions: Callable[[Column, int], Column] = checked_sentences
+    evaluate: Callable[[Column, Column], Column] = missing_sentences
+    revise: Callable[[Column, Column, Column], Column] = with_missing
     parse_json: Callable[[Column], Column] = json_text
 
 

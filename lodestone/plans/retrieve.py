@@ -12,7 +12,7 @@ from ..operators.retrieval import hits
 from ..operators.search import ranked_list, rerank, rrf
 
 #: Rows that a mode returns; artifacts get half.
-TOP_K = {"simple_qa": 20, "artifact_only": 30, "deep_research": 40}
+TOP_K = {"simple_qa": 20, "deep_research": 30, "artifact_only": 40}
 
 
 @dataclass(frozen=True)
