@@ -45,10 +45,10 @@ def export(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def register(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Text files of a folder as documents, chunks, times, findings and edges."""
+    """Text files of a folder as documents, chunks, times, entities, findings and edges; files that give no text with the reason."""
     from .hooks import Hooks
     from .plans.ingest import build_graph
-    from .sources.documents import load_documents
+    from .sources.documents import load_documents, skipped
 
     docs = load_documents(spark, args.source).where("readable").select(F.xxhash64("path").alias("doc_id"), "text")
     entities = spark.read.option("header", "true").schema("entity_id string, name string").csv(args.entities) if args.entities else spark.createDataFrame([], "entity_id string, name string")
@@ -56,6 +56,7 @@ def register(spark: SparkSession, args: argparse.Namespace) -> None:
     embed = Hooks().embed
     tables = {n: getattr(built, n) for n in ("documents", "chunks", "times", "findings", "edges")}
     tables["findings"] = built.findings.withColumn("embedding", embed(F.col("text")))
+    tables["skipped"] = skipped(spark, args.source)
     tables["entities"] = entities.withColumn("embedding", embed(F.col("name")))
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{args.out}/{name}")

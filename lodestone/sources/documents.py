@@ -49,21 +49,33 @@ def pdf_text() -> Column | None:
     return read
 
 
-def load_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, name, text, readable)``: text files as UTF-8 with replacement signs, PDF files if a reader is installed.
-
-    Blank and unreadable files are left out; ``readable`` tells whether a text looks like language.
-    """
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, name, suffix, text)`` of the files of a known kind; text is null where none could be read."""
     files = read_files(spark, folder).where(F.col("suffix").isin(*TEXT_SUFFIXES, *PDF_SUFFIXES))
     reader = pdf_text()
     plain = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), plain)
     if reader is not None:
         text = text.when(F.col("suffix").isin(*PDF_SUFFIXES), reader("content"))
-    loaded = files.select("path", "name", strip_nul(text).alias("text")).where(F.trim("text") != "")
+    return files.select("path", "name", "suffix", strip_nul(text).alias("text"))
+
+
+def load_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, name, text, readable)``: text files as UTF-8 with replacement signs, PDF files if a reader is installed.
+
+    Blank and unreadable files are left out (see :func:`skipped`); ``readable`` tells whether a text looks like language.
+    """
+    loaded = _texts(spark, folder).drop("suffix").where(F.trim("text") != "")
     return loaded.withColumn("readable", is_legible("text"))
 
 
+def skipped(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, name, reason)`` of the files that :func:`load_documents` leaves out or finds not readable."""
+    no_text = F.when(F.col("suffix").isin(*PDF_SUFFIXES), "damaged PDF file" if pdf_text() is not None else "no PDF reader installed").otherwise("unreadable")
+    reason = F.when(F.col("text").isNull(), no_text).when(F.trim("text") == "", "blank").when(~is_legible("text"), "does not look like language")
+    return _texts(spark, folder).select("path", "name", reason.alias("reason")).where("reason is not null")
+
+
 def preflight(documents: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
     """``(name, legibility, readable)``: which documents look like language."""
     score = legibility(text)

@@ -104,6 +104,11 @@ def test_document_folder(spark, tmp_path):
     assert got["a.txt"].text.startswith("café  ok")
     assert documents.preflight(documents.load_documents(spark, str(tmp_path))).where("readable").count() == 2
     assert documents.provenance(documents.read_files(spark, str(tmp_path))).count() == 4
+    (tmp_path / "x.pdf").write_bytes(b"not a PDF file")
+    (tmp_path / "odd.txt").write_text("zzxq vvkj " * 60)
+    left = {r.name: r.reason for r in documents.skipped(spark, str(tmp_path)).collect()}
+    assert set(left) == {"empty.txt", "x.pdf", "odd.txt"} and "PDF" in left["x.pdf"]
+    assert (left["empty.txt"], left["odd.txt"]) == ("blank", "does not look like language")
 
 
 def test_questions_and_suggestions(spark, tmp_path):
