@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions.text import clip
 from .ranking import global_rank
 
@@ -23,9 +24,16 @@ def typed_edges(edges: DataFrame, **wanted: str) -> DataFrame:
 
 
 def tables_of_documents(chunks: DataFrame, candidates: DataFrame, tables: DataFrame, limit: int = 50) -> DataFrame:
-    """``(table_id, document_id, hits)``: tables of the documents that candidate chunks come from, by the chunks they have."""
-    docs = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("hits"))
-    return tables.join(docs, "document_id").select("table_id", "document_id", "hits").orderBy(F.col("hits").desc(), "table_id").limit(limit)
+    """``(table_id, document_id, hits)``: tables of the documents that candidate chunks come from, by the chunks they have.
+
+    A chunk counts once for a document however often it is listed. Repeats go after the match, so that only matched chunks
+    are aggregated; unless candidates are few, chunks meet them in as many tasks as their rows need.
+    """
+    found, rows = candidates.select("chunk_id").distinct(), chunks.select("chunk_id", "document_id")
+    if session.plan_bytes(found) > session.BROADCAST_BYTES:
+        rows, found = session.dealt(rows, "chunk_id", found)
+    docs = rows.join(found, "chunk_id").distinct().groupBy("document_id").agg(F.count("*").alias("hits"))
+    return tables.join(docs, "document_id").select("table_id", "document_id", "hits").orderBy(F.col("hits").desc(), "table_id", "document_id").limit(limit)
 
 
 def fulltext_bridge(candidates: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -499,10 +499,10 @@ def exhaustive_intersection(spark, sf_dir):
     SELECT o_custkey * 1000000 + o_orderkey AS table_id, document_id, hits FROM d JOIN orders ON o_orderkey = document_id WHERE o_orderstatus = 'F' ORDER BY hits DESC, table_id LIMIT 50"""
 )
 def doc_mediated_tables(spark, sf_dir):
-    line = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_orderkey").alias("document_id"), "l_returnflag", "l_quantity").dropDuplicates(["chunk_id"])
+    line = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_orderkey").alias("document_id"))
     candidates = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 40").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"))
     tables = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") * 1000000 + F.col("o_orderkey")).alias("table_id"), F.col("o_orderkey").alias("document_id"))
-    return retrieval.tables_of_documents(line.select("chunk_id", "document_id"), candidates, tables)
+    return retrieval.tables_of_documents(line, candidates, tables)
 
 
 _CHUNKS = """ch AS (SELECT l_orderkey * 10 + l_linenumber AS chunk_id, l_orderkey AS document_id, CASE WHEN bool_or(l_linestatus = 'F') AND l_linenumber % 3 = 0 THEN 'fulltext' ELSE 'summary' END AS kind, count(*) AS hits FROM lineitem GROUP BY l_orderkey, l_linenumber)"""

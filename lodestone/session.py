@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Largest table, in bytes by the optimizer's estimate, that operators broadcast.
 BROADCAST_BYTES = 16 << 20
 
+#: Rows that a task gets of a table that ``dealt`` deals out.
+TASK_ROWS = 500_000
+
 
 _OWN: dict[str, str] = {}
 
@@ -37,6 +40,20 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; costs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def dealt(df: DataFrame, key: str, *others: DataFrame) -> list[DataFrame]:
+    """``df`` and ``others`` dealt out by ``key``, in as many partitions as the rows of ``df`` need, whatever the session's number; counts them first.
+
+    Inner joins on ``key`` stay in these partitions; a semi-join would be moved below them.
+    """
+    n = max(1, -(-df.count() // TASK_ROWS))
+    return [d.repartition(n, key) for d in (df, *others)]
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -1,9 +1,13 @@
 import datetime
+import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import session
 from lodestone.operators import chunking, lifecycle, resolution, retrieval, rollup, search, timeline
+from lodestone.plans.queries import ORACLES, QUERIES
 
 
 def rows(df, *columns):
@@ -256,6 +260,35 @@ def test_bridge_and_groups(spark):
     assert not retrieval.wants_probes("factoid", 5)
 
 
+def test_tables_of_documents_in_bounded_tasks(spark, monkeypatch):
+    chunks = spark.range(600).select((F.col("id") % 400).alias("chunk_id"), F.format_string("d%02d", F.col("id") % 40).alias("document_id"))
+    candidates = spark.range(1000).select((F.col("id") % 250 * 2).alias("chunk_id"))
+    tables = spark.createDataFrame([(7, "d02"), (7, "d00"), (5, "d04"), (1, "d01"), (2, "x")], "table_id int, document_id string")
+    want = [(5, "d04", 10), (7, "d00", 10), (7, "d02", 10)]
+    got = retrieval.tables_of_documents(chunks, candidates, tables)
+    assert [tuple(r) for r in got.collect()] == want
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    for times, parts in ((1, 12), (3, 36)):
+        more = chunks.crossJoin(spark.range(times)).drop("id")
+        got = retrieval.tables_of_documents(more, candidates, tables)
+        assert [tuple(r) for r in got.collect()] == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert re.findall(r"RepartitionByExpression \[chunk_id#\d+L?\], (\d+)", plan) == [str(parts)] * 2
+    assert rows(retrieval.tables_of_documents(chunks.limit(0), candidates, tables)) == []
+
+
+def test_mediated_query_aggregates_matched_chunks_only(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = QUERIES["doc_mediated_tables"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(" not in plan
+    with duckdb.connect() as db:
+        for t in ("lineitem", "orders"):
+            db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        want = db.sql(ORACLES["doc_mediated_tables"]).fetchall()
+    assert [tuple(r) for r in QUERIES["doc_mediated_tables"](spark, sf).collect()] == want
+
+
 def test_probe_texts(spark):
     q = spark.createDataFrame([("Who?",)], "text string")
     e = spark.createDataFrame([(0, "who?"), (1, "more")], "n int, text string")
